@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfold.llm.bpe import encode_ids
 from wayfold.llm.mixing import mix
+from wayfold.llm.quality import statistics, text_types
+from wayfold.llm.splitting import split_documents
 from wayfold.runtime import table
 
 
@@ -21,5 +24,58 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_uses, p7_shares)}
-SQL: dict[str, str] = {}
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pieces(spark, d).where("piece_no = 0").select("doc_id", "boundary")
+
+
+def p8_quality(spark: SparkSession, d: str) -> DataFrame:
+    return text_types(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_quality(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    s = statistics(table(spark, d, "documents"), table(spark, d, "common_words")).drop("votes")
+    return s.withColumns({c: F.round(c, 6) for c in ("mean_word_length", "symbol_ratio", "line_end_share", "common_share")})
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_ids, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)}
+SQL: dict[str, str] = {
+    "p3_found": r"""
+with d as (
+  select doc_id, text, coalesce(l.max_chars, f.max_chars) m
+  from documents left join split_limits l using (content_type)
+  left join split_limits f on f.content_type = 'default'
+), o as (select * from d where length(text) > m),
+x as (
+  select doc_id, m, [
+    regexp_split_to_array(text, '(\r\n|\n)([ \t]*(\r\n|\n))+[ \t]*'),
+    regexp_split_to_array(text, '[\r\n]+'),
+    regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), '[\r\n]+'),
+    regexp_split_to_array(text, '[ \t\r\n]+')] as cuts from o
+), y as (
+  select doc_id, m, list_transform(cuts, lambda c: list_max(list_transform(c, lambda p: length(trim(p, ' ' || chr(9) || chr(10) || chr(13)))))) as sizes from x
+)
+select doc_id, case when sizes[1] <= m then 'paragraph' when sizes[2] <= m then 'line'
+  when sizes[3] <= m then 'sentence' when sizes[4] <= m then 'word' else 'none' end as boundary from y
+""",
+    "p8_statistics": r"""
+with w as (
+  select doc_id, text, regexp_extract_all(text, '[^ \t\n\r\f\x0b]+') ws,
+    list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: regexp_matches(x, '[^ \t\f\x0b]')) ls
+  from documents
+), c as (select list(lower(word)) cw from common_words)
+select doc_id, len(ws)::bigint as n_words,
+  case when text is null then null when len(ws) = 0 then 0.0 else round(list_sum(list_transform(ws, lambda x: length(x)))::double / len(ws), 6) end as mean_word_length,
+  case when text is null then null when len(ws) = 0 then 0.0 else round(length(regexp_replace(text, '[\p{L}\p{N} \t\n\r\f\x0b]', '', 'g'))::double / length(text), 6) end as symbol_ratio,
+  case when text is null then null when len(ws) = 0 then 0.0 else round(len(list_filter(ls, lambda x: regexp_matches(x, '[.!?…:;][ \t\f\x0b]*$')))::double / len(ls), 6) end as line_end_share,
+  case when text is null then null when len(ws) = 0 then 0.0 else round(len(list_filter(ws, lambda x: list_contains(cw, trim(lower(x), '.,;:!?"''()[]{}*_#>«»¿¡…“”‘’-'))))::double / len(ws), 6) end as common_share
+from w, c
+""",
+}
