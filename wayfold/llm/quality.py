@@ -9,7 +9,6 @@ gets the posterior of its type.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -222,19 +221,15 @@ def text_types(documents: DataFrame, common_words: DataFrame, key: str = "doc_id
         prior, rate = learn(patterns, np.array([r["count"] for r in seen], float), votes)
     else:
         prior, rate = np.full(len(TYPES), 1 / len(TYPES)), np.full((len(TYPES), m), 0.5)
-    logs = []
-    for k in range(len(TYPES)):
-        base = math.log(prior[k]) + sum(math.log(1 - r) for r in rate[k])
-        total = F.lit(base)
-        for i in range(m):
-            gain = math.log(rate[k, i]) - math.log(1 - rate[k, i])
-            total = total + F.when(F.expr(f"votes & {1 << i}") != 0, F.lit(gain)).otherwise(F.lit(0.0))
-        logs.append(total)
-    out = stats.withColumns({f"l_{t}": x for t, x in zip(TYPES, logs)})
-    top = F.greatest(*[F.col(f"l_{t}") for t in TYPES])
-    out = out.withColumns({f"e_{t}": F.when(F.col("votes").isNotNull(), F.exp(F.col(f"l_{t}") - top)) for t in TYPES})
-    total = sum((F.col(f"e_{t}") for t in TYPES[1:]), F.col("e_prose"))
-    out = out.withColumns({f"p_{t}": F.col(f"e_{t}") / total for t in TYPES})
-    other = F.greatest("p_list", "p_table", "p_junk")
-    kind = F.when(F.col("p_prose") >= 0.5, "prose").when(F.col("p_junk") == other, "junk").when(F.col("p_table") == other, "table").when(F.col("p_list") == other, "list")
-    return out.withColumn("kind", kind).select(key, *(n for n, _ in STATS), "votes", *(f"p_{t}" for t in TYPES), "kind")
+    made = []
+    for r in seen:
+        on = np.array([r["votes"] >> i & 1 for i in range(m)], float)
+        logp = np.log(prior) + on @ np.log(rate).T + (1 - on) @ np.log(1 - rate).T
+        post = np.exp(logp - logp.max())
+        post = (post / post.sum()).tolist()
+        kind = TYPES[0] if post[0] >= 0.5 else TYPES[1 + int(np.argmax(post[1:]))]
+        made.append((r["votes"], *post, kind))
+    names = [f"p_{t}" for t in TYPES]
+    types = stats.sparkSession.createDataFrame(made, f"v bigint, {', '.join(f'{n} double' for n in names)}, kind string")
+    out = stats.join(F.broadcast(types), F.col("votes") == F.col("v"), "left")  # a row for each vote pattern seen
+    return out.select(key, *(n for n, _ in STATS), "votes", *names, "kind")
