@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.bpe import encode_ids
 from wayfold.llm.mixing import mix
+from wayfold.llm.percentiles import combine, percentiles, summaries
 from wayfold.llm.quality import statistics, text_types
 from wayfold.llm.splitting import split_documents
 from wayfold.runtime import table
@@ -24,6 +25,42 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _latency(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "query_events").select(F.to_date("ts").alias("day"), "cache_hit", "latency_ms")
+
+
+def _processing(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "validation_audit").select(F.to_date("ts").alias("day"), "source", "processing_time_ms")
+
+
+def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """All groupings of both tables; exact, so the error in rank is 0."""
+    latency = percentiles(
+        _latency(spark, d),
+        {"latency_by_day": ["day"], "latency_by_cache_hit": ["cache_hit"], "latency_overall": []},
+        "latency_ms",
+        F.col("latency_ms") >= 0,
+    )
+    time = percentiles(
+        _processing(spark, d),
+        {"processing_by_source": ["source"], "processing_by_day_and_source": ["day", "source"]},
+        "processing_time_ms",
+        F.col("processing_time_ms") >= 0,
+    )
+    columns = ["grouping", "day", "cache_hit", "source", "n", "p50", "p90", "p95", "p99"]
+    return latency.unionByName(time, allowMissingColumns=True).select(*columns)
+
+
+def p1_kept_per_day(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries per day and source to keep."""
+    return summaries(_processing(spark, d), ["day", "source"], "processing_time_ms", keep=F.col("processing_time_ms") >= 0)
+
+
+def p1_month_from_days(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per month and source combined from what is kept per day."""
+    return combine(p1_kept_per_day(spark, d).withColumn("month", F.substring("day", 1, 7)), ["month", "source"])
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
@@ -45,8 +82,37 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({c: F.round(c, 6) for c in ("mean_word_length", "symbol_ratio", "line_end_share", "common_share")})
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_ids, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_kept_per_day, p1_month_from_days, p3_found, p3_pieces, p6_ids, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)}
+_P1 = """
+select '{name}' as grouping, {day} as day, {hit} as cache_hit, {source} as source, n::bigint as n,
+  max(case when r = (n * 50 + 99) // 100 then v end)::double as p50,
+  max(case when r = (n * 90 + 99) // 100 then v end)::double as p90,
+  max(case when r = (n * 95 + 99) // 100 then v end)::double as p95,
+  max(case when r = (n * 99 + 99) // 100 then v end)::double as p99
+from (select *, row_number() over (partition by {by} order by v) r, count(*) over (partition by {by}) n from {of})
+group by {by}, n"""
+
+
+def _p1(name: str, of: str, **cols: str) -> str:
+    keys = ", ".join(cols.values()) or "one"
+    shown = {c: f"{cols[c]}::varchar" if c in cols else "null::varchar" for c in ("day", "hit", "source")}
+    return _P1.format(name=name, of=of, by=keys, **shown)
+
+
 SQL: dict[str, str] = {
+    "p1_percentiles": """
+with l as (select ts::date as day, cache_hit, latency_ms v from query_events where latency_ms >= 0),
+t as (select ts::date as day, source, processing_time_ms v from validation_audit where processing_time_ms >= 0)
+"""
+    + " union all ".join(
+        [
+            _p1("latency_by_day", "l", day="day"),
+            _p1("latency_by_cache_hit", "l", hit="cache_hit"),
+            _p1("latency_overall", "(select *, 0 as one from l)"),
+            _p1("processing_by_source", "t", source="source"),
+            _p1("processing_by_day_and_source", "t", day="day", source="source"),
+        ]
+    ),
     "p3_found": r"""
 with d as (
   select doc_id, text, coalesce(l.max_chars, f.max_chars) m
