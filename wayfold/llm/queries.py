@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.bpe import encode_ids
 from wayfold.llm.mixing import mix
 from wayfold.llm.percentiles import combine, percentiles, summaries
+from wayfold.llm.places import map_places
 from wayfold.llm.quality import statistics, text_types
 from wayfold.llm.splitting import split_documents
 from wayfold.runtime import table
@@ -61,6 +62,15 @@ def p1_month_from_days(spark: SparkSession, d: str) -> DataFrame:
     return combine(p1_kept_per_day(spark, d).withColumn("month", F.substring("day", 1, 7)), ["month", "source"])
 
 
+def p2_places(spark: SparkSession, d: str) -> DataFrame:
+    return map_places(table(spark, d, "test_addresses_validation"), table(spark, d, "city_ref"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row per case; of repeated deliveries that differ the greater entry id counts."""
+    return p2_places(spark, d).where("not fits").groupBy("id").agg(F.max("city_ref_id").alias("city_ref_id"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
@@ -82,7 +92,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({c: F.round(c, 6) for c in ("mean_word_length", "symbol_ratio", "line_end_share", "common_share")})
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_kept_per_day, p1_month_from_days, p3_found, p3_pieces, p6_ids, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_kept_per_day, p1_month_from_days, p2_found, p2_places, p3_found, p3_pieces, p6_ids, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)}
 _P1 = """
 select '{name}' as grouping, {day} as day, {hit} as cache_hit, {source} as source, n::bigint as n,
   max(case when r = (n * 50 + 99) // 100 then v end)::double as p50,
