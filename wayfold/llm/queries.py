@@ -10,10 +10,25 @@ from wayfold.llm.mixing import mix
 from wayfold.llm.percentiles import combine, percentiles, summaries
 from wayfold.llm.places import map_places
 from wayfold.llm.quality import statistics, text_types
+from wayfold.llm.same_address import all_records, locations, same_address_pairs
 from wayfold.llm.splitting import split_documents
 from wayfold.runtime import table
 
 
+def _addresses(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("test_addresses_validation", "test_addresses_fuzzy", "city_ref")]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_address_pairs(*_addresses(spark, d))
+
+
+def p5_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with its location; the compact form of the same result."""
+    v, f, r = _addresses(spark, d)
+    return locations(all_records(v, f), r)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_ids(table(spark, d, "documents"))
 
@@ -92,7 +107,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({c: F.round(c, 6) for c in ("mean_word_length", "symbol_ratio", "line_end_share", "common_share")})
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_kept_per_day, p1_month_from_days, p2_found, p2_places, p3_found, p3_pieces, p6_ids, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_kept_per_day, p1_month_from_days, p2_found, p2_places, p3_found, p3_pieces, p5_found, p5_locations, p6_ids, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)}
 _P1 = """
 select '{name}' as grouping, {day} as day, {hit} as cache_hit, {source} as source, n::bigint as n,
   max(case when r = (n * 50 + 99) // 100 then v end)::double as p50,
