@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from wayfold.plans import histories
+from wayfold.plans import customers, histories
 
-_MODULES = (histories,)
+_MODULES = (customers, histories)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
+
+
+def flagship(spark, base: str):
+    """Active customers by state with two or more moves, with totals."""
+    return QUERIES["active_movers_by_state"](spark, base)
