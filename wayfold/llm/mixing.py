@@ -98,8 +98,7 @@ def mix(
     )
     counts = ["documents", "tokens", "documents_used", "copies", "most_repeats", "mix_tokens"]
     shares = fixed.join(per, "source", "left").fillna(0, counts)
-    total = shares.agg(F.sum("mix_tokens").alias("all_tokens"))
-    shares = shares.crossJoin(F.broadcast(total)).select(  # the one-row total
+    shares = shares.withColumn("all_tokens", shares.agg(F.sum("mix_tokens")).scalar()).select(
         "source",
         *[F.col(c).cast("long").alias(c) for c in counts],
         "max_repeats",

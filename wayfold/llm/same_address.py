@@ -100,10 +100,10 @@ def mine_rewrites(parsed: DataFrame) -> DataFrame:
     bare = [F.regexp_replace(c, "[aeiouy]", "") for c in ("word", "new")]
     short = (F.length("word") >= 3) & (F.substring("word", 1, 1) == F.substring("new", 1, 1)) & ((bare[0] == bare[1]) | (F.col("word") == bare[1]) | F.col("new").startswith(F.col("word")))
     swapped = F.array_join(F.array_sort(F.split("word", "")), "") == F.array_join(F.array_sort(F.split("new", "")), "")
-    total = F.broadcast(slots.select("place", "number", "rest").distinct().agg(F.count("*").alias("all_keys")))  # one row
+    total = float(slots.select("place", "number", "rest").distinct().count())
     found = pairs.where(near | short | (swapped & (F.levenshtein("word", "new") <= 4))).groupBy("word", "new").agg(F.count("*").cast("double").alias("a"), F.max("doors").cast("double").alias("w"), F.max("lead_doors").cast("double").alias("l"))
     found = found.join(contested, "word")
-    found = found.crossJoin(total).withColumn("n", F.col("all_keys").cast("double"))
+    found = found.withColumn("n", F.lit(total))
     b, c = F.greatest(F.col("w") - F.col("a"), F.lit(0.0)), F.greatest(F.col("l") - F.col("a"), F.lit(0.0))
     d = F.greatest(F.col("n") - F.col("w") - F.col("l") + F.col("a"), F.lit(1.0))
 
@@ -344,21 +344,21 @@ def _only_fit(left: DataFrame, there: DataFrame) -> DataFrame:
     """(id, location) of records without number or place that exactly one location fits.
 
     Every location is counted under each key of its name and a subset of its other
-    parts; a record looks up the one key of all parts that it has.  The cost is 64
-    keys a location, whatever shares a key.
+    parts that some record has; a record looks up the key of all parts it has.  The
+    cost is at most 64 keys a location, whatever shares a key.
     """
     parts = F.split("location", r"\|")
     locs = there.where("location not like '%|po|%'").select("location", *[parts[i].alias(c) for i, c in enumerate(("place", "number", "direction", "name", "type", "unit", "urb"))])
-    masks = F.explode(F.sequence(F.lit(0), F.lit(2 ** len(_OPTIONS) - 1))).alias("mask")
 
     def key(has) -> Column:
         return F.concat_ws("|", "name", F.col("mask").cast("string"), *[F.when(has(i, c), F.col(c)).otherwise(F.lit("*")) for i, c in enumerate(_OPTIONS)])
 
-    # Only masks that a record needs are made.
     mask = sum((F.when((F.col(c) != "") & (F.col(c) != "?"), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(_OPTIONS)), F.lit(0))
     asks = left.withColumns({"name": F.array_join("name", " "), "mask": mask})
     asks = asks.withColumn("key", key(lambda i, c: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0))
-    made = locs.select("*", masks).withColumn("key", key(lambda i, c: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0))
+    masks = [r["mask"] for r in asks.select("mask").distinct().collect()]  # at most 64
+    made = locs.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")) if masks else locs.withColumn("mask", F.lit(0)).limit(0)
+    made = made.withColumn("key", key(lambda i, c: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0))
     only = made.groupBy("key").agg(F.count("*").alias("c"), F.min("location").alias("location")).where("c = 1")
     return asks.select("id", "key").join(only, "key").select("id", "location")
 
