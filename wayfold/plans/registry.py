@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfold.plans import customers, histories, telemetry
+from wayfold.plans import customers, documents, histories, telemetry
 
-_MODULES = (customers, histories, telemetry)
+_MODULES = (customers, documents, histories, telemetry)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
