@@ -72,7 +72,7 @@ def content_hashes(t):
     f"""with h as (select doc_id, source, substr(sha256({_BARE}), 1, 16) as hash, n_chars::double as score from documents where text is not null),
 b as (select *, row_number() over (partition by hash order by score desc, doc_id) r, count(*) over (partition by hash) copies from h),
 s as (select hash, list_sort(list(distinct source) filter (source is not null)) sources from h group by hash)
-select b.hash, b.doc_id, b.source, array_to_string(list_filter(s.sources, lambda x: b.source is null or x <> b.source), ',') as alternates, copies::bigint as copies from b join s on b.hash = s.hash where r = 1""",
+select b.hash, b.doc_id, b.source, coalesce(array_to_string(list_filter(s.sources, lambda x: b.source is null or x <> b.source), ','), '') as alternates, copies::bigint as copies from b join s on b.hash = s.hash where r = 1""",
 )
 def content_hash_dedupe(t):
     return D.best_of_copies(t, F.col("n_chars").cast("double"))
