@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfold.plans import addresses, customers, documents, histories, telemetry
+from wayfold.plans import addresses, customers, documents, histories, telemetry, vectors
 
-_MODULES = (customers, addresses, documents, histories, telemetry)
+_MODULES = (customers, addresses, documents, histories, telemetry, vectors)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
