@@ -54,7 +54,7 @@ def flattened(df: DataFrame, depth: int = 3, sep: str = "_") -> DataFrame:
     cols: list[Column] = []
 
     def walk(c: Column, kind: T.DataType, name: str, level: int) -> None:
-        if isinstance(kind, T.StructType) and level < depth:
+        if isinstance(kind, T.StructType) and level < depth - 1:
             for f in kind.fields:
                 walk(c[f.name], f.dataType, f"{name}{sep}{f.name}" if name else f.name, level + 1)
         elif isinstance(kind, T.ArrayType):

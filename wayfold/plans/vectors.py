@@ -70,17 +70,17 @@ def route_avg(v):
     return V.nearest(v, _Q, 50).groupBy("label").agg(F.count("*").alias("hits"), F.round(F.avg("score"), 6).alias("score"))
 
 
-@query("select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) as norm, round(embedding[1]::double / sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) as first, len(embedding)::int as dim from embeddings")
+@query("select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) as norm, round(embedding[1]::double / sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) + 0.0::double as first, len(embedding)::int as dim from embeddings")
 def embed_normalize(v):
     e = F.col("embedding")
-    return v.select("vec_id", F.round(V.norm(e), 5).alias("norm"), F.round(F.get(V.unit(e), F.lit(0)), 5).alias("first"), F.size(e).alias("dim"))
+    return v.select("vec_id", F.round(V.norm(e), 5).alias("norm"), (F.round(F.get(V.unit(e), F.lit(0)), 5) + F.lit(0.0)).alias("first"), F.size(e).alias("dim"))
 
 
-@query("select vec_id, round(list_avg(embedding[1:4]::double[]), 5) as first from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: isnan(x))) = 0")
+@query("select vec_id, round(list_avg(embedding[1:4]::double[]), 5) + 0.0::double as first from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: isnan(x))) = 0")
 def embed_pool(v):
     v = v.where(V.valid(F.col("embedding"), 64))
     p = F.aggregate(F.slice("embedding", 1, 4), F.lit(0.0), lambda s, x: s + x.cast("double")) / 4
-    return v.select("vec_id", F.round(p, 5).alias("first"))
+    return v.select("vec_id", (F.round(p, 5) + F.lit(0.0)).alias("first"))  # no negative zero
 
 
 @query("select label, count(*)::bigint as n, round(avg(embedding[1]::double), 6)::double as c1, round(avg(embedding[64]::double), 6)::double as c64 from embeddings group by 1")
