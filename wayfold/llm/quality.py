@@ -120,7 +120,7 @@ def describe(text: str, common: frozenset[str]) -> dict:
     out["run"] = sum(map(len, runs)) / len(runs) if runs else 0.0
     out["damage"] = len(DAMAGE.findall(text)) / chars
     out["foreign"] = len(FOREIGN.findall(text)) / max(1, chars)
-    long_ = [w for w in plain if len(w) >= 5 and w.isascii() and not any(map(str.isdigit, w))]
+    long_ = [w for w in plain if 5 <= len(w) <= 40 and w.isascii() and not any(map(str.isdigit, w))]
     out["clusters"] = sum(CLUSTER.search(w) is not None for w in long_) / n if long_ else 0.0
     body = lines[1:] if len(lines) > 1 and lines[0].endswith(":") else lines
     size = sum(map(len, body)) or 1
