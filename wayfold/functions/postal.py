@@ -67,3 +67,10 @@ def city_form(city: Column) -> Column:
     """A place name in the form it is compared in; null becomes empty."""
     spaced = F.regexp_replace(_plain(F.coalesce(city, F.lit(""))), r"[^a-z0-9]+", " ")
     return _mapped(F.trim(spaced), CITY_WORDS)
+
+# Slips in address words and what they mean.
+SLIPS = {
+    "stret": "street", "streeet": "street", "srteet": "street", "avenu": "avenue", "avnue": "avenue", "aveneu": "avenue", "raod": "road",
+    "rode": "road", "boulevrd": "boulevard", "bouleverd": "boulevard", "dirve": "drive", "drve": "drive", "lnae": "lane", "laen": "lane",
+    "crcle": "circle", "cirlce": "circle", "plaec": "place", "pkway": "parkway", "aparment": "apartment", "apartmnt": "apartment", "siute": "suite",
+}

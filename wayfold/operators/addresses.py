@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.names import STATES
-from wayfold.functions.postal import DIRECTIONS, STREET_TYPES, city_form, line_form
-from wayfold.functions.text import SOUNDS
+from wayfold.functions.postal import DIRECTIONS, MARKED, PLAIN, SLIPS, STREET_TYPES, city_form, line_form
+from wayfold.functions.text import SOUNDS, levenshtein_similarity
 
 # Weights and thresholds of the similarity of two addresses.
 WEIGHTS = {"number": 0.25, "name": 0.30, "zip": 0.20, "city": 0.10, "state": 0.10, "urbanization": 0.15}
@@ -239,3 +239,68 @@ def fuzzy_matches(probes: DataFrame, index: DataFrame, probe_id: str, index_id:
     w = Window.partitionBy("p_id").orderBy(F.desc("score"), "i_id")
     ranked = scored.withColumns({"rank": F.row_number().over(w), "gap": F.col("score") - F.lead("score").over(w)})
     return ranked.where(F.col("rank") <= limit)
+
+
+def slips_fixed(line: Column) -> tuple[Column, Column]:
+    """The line with known slips put right, and how many there were."""
+    n = F.lit(0)
+    for wrong, right in sorted(SLIPS.items()):
+        n = n + F.regexp_count(line, F.lit(rf"(?i)\b{wrong}\b"))
+        line = F.regexp_replace(line, rf"(?i)\b{wrong}\b", right)
+    return line, n
+
+
+def component_scores(parsed: DataFrame) -> DataFrame:
+    """Scores of the parts against the place of the ZIP (``ref_city``, ``ref_state``), with a confidence and status.
+
+    Present parts score 1; a city or state inferred from the ZIP 0.85 and 0.9; a city
+    that differs by its likeness without marks, a state that differs 0; without a type 0.3.
+    """
+    have = lambda c: F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0)
+    city = F.when(F.col("place").isNull(), F.when(F.col("ref_city").isNotNull(), 0.85).otherwise(0.0)).when(F.col("ref_city").isNull() | (F.col("place") == F.col("ref_city")), 1.0).otherwise(levenshtein_similarity(*[F.translate(c, MARKED, PLAIN) for c in ("place", "ref_city")]))
+    state = F.when(F.col("code").isNull(), F.when(F.col("ref_state").isNotNull(), 0.9).otherwise(0.0)).when(F.col("ref_state").isNull() | (F.col("code") == F.col("ref_state")), 1.0).otherwise(0.0)
+    scores = {"number": have("number"), "name": have("name"), "type": F.when(F.col("type").isNotNull(), 1.0).otherwise(0.3), "city": city, "state": state, "zip": have("zip5")}
+    out = parsed.withColumns({f"s_{k}": v for k, v in scores.items()})
+    total = sum(CONFIDENCE[k] for k in scores)
+    mean = sum((F.col(f"s_{k}") * CONFIDENCE[k] for k in scores), F.lit(0.0)) / total
+    whole = reduce(lambda a, c: a & F.col(c).isNotNull(), ("name", "place", "code", "zip5"), F.col("number").isNotNull())
+    conf = F.when(whole, F.least(F.lit(1.0), mean * 1.05)).otherwise(mean) * F.when(F.col("is_pr") & F.col("urbanization").isNull(), 0.85).otherwise(1.0)
+    out = out.withColumn("confidence", F.round(conf, 6))
+    inferred = (F.col("s_city") == 0.85) | (F.col("s_state") == 0.9)
+    changed = (F.col("s_city") < 1) & (F.col("s_city") > 0) & ~inferred
+    status = F.when(F.col("confidence") >= 0.95, "verified").when(changed & (F.col("confidence") >= 0.7), "corrected").when(inferred & (F.col("confidence") >= 0.7), "completed").when(F.col("confidence") >= 0.5, "suggested").otherwise("unverified")
+    return out.withColumn("status", status)
+
+
+def swapped(a: Column, b: Column) -> Column:
+    """Whether two texts differ by two neighbours that changed places."""
+    n = F.length(a)
+    at = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, n)) == b)
+    return F.coalesce((a != b) & (n == F.length(b)) & (F.size(at) > 0), F.lit(False))
+
+
+def osa_distance(x: str | None, y: str | None) -> int | None:
+    """Edits including swaps of neighbours, each stretch edited once; null with a null."""
+    if x is None or y is None:
+        return None
+    two: list[int] = []
+    last = list(range(len(y) + 1))
+    for i, p in enumerate(x, 1):
+        now = [i]
+        for j, q in enumerate(y, 1):
+            v = min(last[j] + 1, now[-1] + 1, last[j - 1] + (p != q))
+            if i > 1 and j > 1 and p == y[j - 2] and x[i - 2] == q:
+                v = min(v, two[j - 2] + 1)
+            now.append(v)
+        two, last = last, now
+    return last[-1]
+
+
+def osa(a: str, b: str) -> Column:
+    """``osa_distance`` of two columns, in Arrow batches."""
+
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([osa_distance(p, q) for p, q in zip(x, y)], dtype="Int32", index=x.index)
+
+    return distance(F.col(a), F.col(b))

@@ -186,3 +186,42 @@ def delta(source: DataFrame, index: DataFrame, key: str) -> DataFrame:
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """The table with changed rows replaced and new ones added."""
     return table.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
+
+
+def any_term(customers: DataFrame, text: str, columns: tuple[str, ...] = ("name", "address", "city")) -> DataFrame:
+    """Rows that hold any of the first three terms of three letters or more, with how many."""
+    terms = [t for t in text.lower().split() if len(t) >= 3][:3]
+    hits = [reduce(or_, [F.coalesce(F.contains(F.lower(c), F.lit(t)), F.lit(False)) for c in columns]).cast("int") for t in terms]
+    return customers.withColumn("terms", sum(hits, F.lit(0))).where("terms > 0")
+
+
+def weighted_search(customers: DataFrame, text: str, limit: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
+    """Rows by the weights of the columns that hold the terms, as a share of all; a top-k, ties by id."""
+    weights = weights or {"name": 2, "address": 3, "city": 2}
+    terms = text.lower().split()
+    score = sum((F.when(F.contains(F.lower(c), F.lit(t)), float(w)).otherwise(0.0) for c, w in weights.items() for t in terms), F.lit(0.0))
+    hits = customers.withColumn("score", F.round(score / (sum(weights.values()) * max(1, len(terms))), 6)).where("score > 0")
+    return hits.orderBy(F.desc("score"), "crid").limit(limit)
+
+
+def completion_keys(customers: DataFrame) -> DataFrame:
+    """(key, crid, shared): the forms an address may be typed in, and whose it is.
+
+    Customers without address, city or state have no keys.
+    """
+    c = customers.where("address is not null and city is not null and state is not null")
+    zip_ = F.coalesce("zip", F.lit(""))
+    full = F.concat("address", F.lit(", "), "city", F.lit(", "), "state")
+    forms = [F.concat(full, F.lit(" "), zip_), full, F.concat("address", F.lit(", "), "city"), F.concat("address", F.lit(" "), zip_), F.col("address")]
+    keys = c.select("crid", F.explode(F.array_distinct(F.array(*[F.lower(f) for f in forms]))).alias("key"))
+    return keys.groupBy("key").agg(F.max("crid").alias("crid"), F.count_distinct("crid").alias("shared"))
+
+
+def first_found(ways) -> tuple[str, DataFrame]:
+    """The name and rows of the first (name, maker of a DataFrame) that isn't empty; else of the last."""
+    name, rows = "", None
+    for name, make in ways:
+        rows = make()
+        if not rows.isEmpty():
+            break
+    return name, rows

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.names import STATES
-from wayfold.functions.postal import DIRECTIONS, STREET_TYPES
+from wayfold.functions.postal import DIRECTIONS, SLIPS, STREET_TYPES
+from wayfold.functions.text import levenshtein_similarity
 from wayfold.operators import addresses as A
 from wayfold.operators import customers as C
 from wayfold.plans.customers import SNAPSHOT_CUSTOMERS
@@ -219,3 +220,80 @@ def batch_report_by_error(p, spark, d):
 )
 def state_zip_normalize(p, spark, d):
     return typed(spark, d).select("id", A.normal_state(F.col("state")).alias("code"), A.zip5(F.col("zip")).alias("zip5"), F.coalesce("zip", F.lit("")).rlike(r"^\d{5}$").alias("valid"))
+
+
+def _fix_sql(c: str) -> str:
+    for wrong, right in sorted(SLIPS.items()):
+        c = f"regexp_replace({c}, '(?i)\\b{wrong}\\b', '{right}', 'g')"
+    return c
+
+
+@query("select id, " + _fix_sql("address") + " as fixed from " + TYPED + " where address is not null")
+def typo_fixes(p, spark, d):
+    fixed, _ = A.slips_fixed(F.col("address"))
+    return typed(spark, d).where("address is not null").select("id", fixed.alias("fixed"))
+
+
+_SCORED = (
+    _PARSED
+    + """, r as (select p.*, lower(c.city) as ref_city, c.state as ref_state from p left join city_ref c on p.zip5 between c.zip_low and c.zip_high),
+s as (select *, (number is not null)::int::double as s1, (name is not null)::int::double as s2, case when type is not null then 1.0 else 0.3 end::double as s3,
+  case when place is null then case when ref_city is not null then 0.85 else 0.0 end when ref_city is null or place = ref_city then 1.0 else 1 - levenshtein(translate(place, 'áàâäãéèêëíìîïóòôöõúùûüñç', 'aaaaaeeeeiiiiooooouuuunc'), translate(ref_city, 'áàâäãéèêëíìîïóòôöõúùûüñç', 'aaaaaeeeeiiiiooooouuuunc'))::double / greatest(length(place), length(ref_city)) end::double as s4,
+  case when code is null then case when ref_state is not null then 0.9 else 0.0 end when ref_state is null or code = ref_state then 1.0 else 0.0 end::double as s5, (zip5 is not null)::int::double as s6 from r),
+t as (select *, (s1 * 0.2 + s2 * 0.25 + s3 * 0.05 + s4 * 0.15 + s5 * 0.15 + s6 * 0.15) / 0.95 as m from s),
+u as (select *, round(case when number is not null and name is not null and place is not null and code is not null and zip5 is not null then least(1.0, m * 1.05) else m end * case when is_pr and urbanization is null then 0.85 else 1.0 end, 6)::double as confidence from t)"""
+)
+
+
+def _with_reference(p: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    ref = table(spark, d, "city_ref").where("zip_low is not null and zip_high is not null")
+    ref = ref.select(F.lower("city").alias("ref_city"), F.col("state").alias("ref_state"), "zip_low", "zip_high", F.explode(F.sequence(F.substring("zip_low", 1, 3).cast("int"), F.substring("zip_high", 1, 3).cast("int"))).alias("k"))
+    left = p.withColumn("_k", F.substring("zip5", 1, 3).cast("int"))
+    return left.join(ref, (F.col("_k") == F.col("k")) & F.col("zip5").between(F.col("zip_low"), F.col("zip_high")), "left").drop("_k", "k", "zip_low", "zip_high")
+
+
+@query(_SCORED + " select id, round(s4, 6) as s_city, s5 as s_state, confidence from u")
+def addr_component_scores(p, spark, d):
+    s = A.component_scores(_with_reference(p, spark, d))
+    return s.select("id", F.round("s_city", 6).alias("s_city"), "s_state", "confidence")
+
+
+@query(
+    _SCORED
+    + """ select case when confidence >= 0.95 then 'verified' when s4 < 1 and s4 > 0 and not (s4 = 0.85 or s5 = 0.9) and confidence >= 0.7 then 'corrected'
+when (s4 = 0.85 or s5 = 0.9) and confidence >= 0.7 then 'completed' when confidence >= 0.5 then 'suggested' else 'unverified' end as status, count(*)::bigint as n, round(avg(confidence), 6)::double as confidence from u group by 1"""
+)
+def addr_status_report(p, spark, d):
+    s = A.component_scores(_with_reference(p, spark, d))
+    return s.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query(
+    f"""select id, zip, correct_zip, len(list_filter(range(1, length(zip)), lambda i: substr(zip, 1, (i - 1)::int) || substr(zip, (i + 1)::int, 1) || substr(zip, i::int, 1) || substr(zip, (i + 2)::int) = correct_zip)) > 0 and zip <> correct_zip as swapped
+from (select distinct id, zip, correct_zip from test_addresses_validation where correct_zip is not null and zip is not null)"""
+)
+def transposition_check(p, spark, d):
+    t = table(spark, d, "test_addresses_validation").where("correct_zip is not null and zip is not null").select("id", "zip", "correct_zip").distinct()
+    return t.withColumn("swapped", A.swapped(F.col("zip"), F.col("correct_zip")))
+
+
+@query(_PARSED + " select urbanization, count(*)::bigint as n, count(distinct zip5)::bigint as zips from p where is_pr and urbanization is not null group by 1")
+def by_urbanization(p, spark, d):
+    return p.where("is_pr and urbanization is not null").groupBy("urbanization").agg(F.count("*").alias("n"), F.count_distinct("zip5").alias("zips"))
+
+
+@query(_PARSED + " select a.id as a, b.id as b, round(1 - levenshtein(a.name, b.name)::double / greatest(length(a.name), length(b.name)), 6) as similarity from p a join p b on a.zip5 = b.zip5 and a.number = b.number and a.id < b.id where 1 - levenshtein(a.name, b.name)::double / greatest(length(a.name), length(b.name)) between 0.6 and 0.999")
+def street_in_zip(p, spark, d):
+    """Streets spelled alike at one number of a ZIP."""
+    a = p.where("number is not null and name is not null").select(F.col("id").alias("a"), "zip5", "number", F.col("name").alias("na"))
+    b = a.withColumnsRenamed({"a": "b", "na": "nb"})
+    s = F.round(levenshtein_similarity(F.col("na"), F.col("nb")), 6)
+    return a.join(b, ["zip5", "number"]).where("a < b").select("a", "b", s.alias("similarity")).where("similarity between 0.6 and 0.999")
+
+
+@query("select a.city_ref_id as a, b.city_ref_id as b from city_ref a join city_ref b on a.state = b.state and a.city_ref_id < b.city_ref_id where damerau_levenshtein(lower(a.city), lower(b.city)) <= 1")
+def swaps_and_slips(p, spark, d):
+    """Names of one state at one edit or swap; where it is one, both definitions of the distance agree."""
+    r = table(spark, d, "city_ref").select("city_ref_id", "state", F.lower("city").alias("c"))
+    a, b = r.toDF("a", "state", "ca"), r.toDF("b", "state", "cb")
+    return a.join(b, "state").where("a < b").where(A.osa("ca", "cb") <= 1).select("a", "b")

@@ -278,3 +278,56 @@ def upsert_by_key(c):
     changes = rows.where("state = 'NJ'").select("crid", F.upper("address").alias("address"), F.lit("REVIEW").alias("status"))
     keep = rows.where("state is not null").select("crid", "address", "status")
     return C.upsert(keep, changes, "crid")
+
+
+@query(
+    """select crid, name, city, (contains(lower(name), 'alenka') or contains(lower(address), 'alenka') or contains(lower(city), 'alenka'))::int
++ (contains(lower(name), 'jasper') or contains(lower(address), 'jasper') or contains(lower(city), 'jasper'))::int
++ (contains(lower(name), 'gate') or contains(lower(address), 'gate') or contains(lower(city), 'gate'))::int as terms from customers where terms > 0"""
+)
+def fuzzy_union(c):
+    """Rows with any of the first three longer terms, each once."""
+    return C.any_term(c, "Alenka of Jasper gate street").select("crid", "name", "city", "terms")
+
+
+@query(
+    """select crid, name, round((2 * contains(lower(name), 'ilvan')::int + 3 * contains(lower(address), 'ilvan')::int + 2 * contains(lower(city), 'ilvan')::int
++ 2 * contains(lower(name), 'knoll')::int + 3 * contains(lower(address), 'knoll')::int + 2 * contains(lower(city), 'knoll')::int)::double / 14, 6) as score from customers where score > 0 order by 3 desc, 1 limit 20"""
+)
+def weighted_search(c):
+    """Weighted text search over name, address and city."""
+    return C.weighted_search(c, "Ilvan Knoll", 20).select("crid", "name", "score")
+
+
+@query("""select key, arg_max(crid, crid) as crid, count(distinct crid)::bigint as shared from (select crid, unnest(list_distinct([lower(address || ', ' || city || ', ' || state || ' ' || coalesce(zip, '')), lower(address || ', ' || city || ', ' || state), lower(address || ', ' || city), lower(address || ' ' || coalesce(zip, '')), lower(address)])) as key from customers where address is not null and city is not null and state is not null) group by 1""")
+def cache_warmup(c):
+    """Five keys a customer for completion; of customers with one key the last counts."""
+    return C.completion_keys(c)
+
+
+@query("select state, lower(city) as city, count(distinct zip)::bigint as zips, string_agg(distinct zip, ',' order by zip) as listed from customers where zip is not null group by 1, 2")
+def zips_of_places(c):
+    z = c.where("zip is not null").groupBy("state", F.lower("city").alias("city")).agg(F.array_sort(F.collect_set("zip")).alias("z"))
+    return z.select("state", "city", F.size("z").cast("long").alias("zips"), F.array_join("z", ",").alias("listed"))
+
+
+def _known_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids asked for in queries, by whether there is such a customer."""
+    q = table(spark, d, "query_events").select(F.regexp_extract(F.upper("query_text"), r"(CRID-\d+)", 1).alias("crid"), "trace_id").where("crid <> ''")
+    there = customers(spark, d).select("crid")
+    counts = q.groupBy("crid").agg(F.count_distinct("trace_id").alias("asked"))
+    known = counts.join(there, "crid", "left_semi").withColumn("known", F.lit(True))
+    return known.unionByName(counts.join(there, "crid", "left_anti").withColumn("known", F.lit(False)))
+
+
+QUERIES["ids_asked_for"] = _known_ids
+SQL["ids_asked_for"] = f"""with {SNAPSHOT_CUSTOMERS}, q as (select regexp_extract(upper(query_text), '(CRID-\\d+)', 1) as crid, trace_id from query_events)
+select crid, count(distinct trace_id)::bigint as asked, crid in (select crid from customers) as known from q where crid <> '' group by 1"""
+
+
+@query()
+def strategy_cascade(c):
+    """The first way of searching that finds anything: by id, by city, by any term."""
+    ways = (("id", lambda: C.lookup(c, "CRID-999999")), ("city", lambda: C.search(c, city="gate")), ("terms", lambda: C.any_term(c, "gate")))
+    name, found = C.first_found(ways)
+    return found.select(F.lit(name).alias("way"), "crid", "city")

@@ -201,3 +201,68 @@ def chunk_context_lag(t):
     small = t.groupBy("filename").count().where("count < 50").select("filename")
     w = Window.partitionBy("filename").orderBy("doc_id")
     return t.join(small, "filename", "left_semi").select("doc_id", F.lag("doc_id").over(w).alias("before"), F.lead("doc_id").over(w).alias("after"))
+
+
+@query("documents", "select doc_id, category, n_chars, (select count(*) from documents where category = 'general' and n_chars between 200 and 900)::bigint as total from documents where category = 'general' and n_chars between 200 and 900 order by n_chars desc, doc_id limit 50 offset 20")
+def admin_list(t):
+    """One page of documents of a category and a range of lengths."""
+    hits = t.where("category = 'general' and n_chars between 200 and 900")
+    return hits.orderBy(F.desc("n_chars"), "doc_id").offset(20).limit(50).select("doc_id", "category", "n_chars", hits.agg(F.count("*")).scalar().alias("total"))
+
+
+@query("documents", f"select hash, string_agg(distinct source, ',' order by source) as sources, count(*)::bigint as occurrences from (select source, substr(sha256({_NORM}), 1, 16) as hash from documents where text is not null and source is not null) group by hash having count(distinct source) > 1")
+def cross_index_content(t):
+    """Texts that stand in more than one source."""
+    h = t.where("text is not null and source is not null").select("source", X.content_hash(F.col("text")).alias("hash"))
+    g = h.groupBy("hash").agg(F.array_sort(F.collect_set("source")).alias("s"), F.count("*").alias("occurrences")).where("size(s) > 1")
+    return g.select("hash", F.array_join("s", ",").alias("sources"), "occurrences")
+
+
+@query("documents", r"select kind, value, count(distinct doc_id)::bigint as documents from (select doc_id, 'crid' as kind, unnest(regexp_extract_all(text, 'CRID-\d{6}')) as value from documents union all select doc_id, 'date', unnest(regexp_extract_all(text, '\b20\d\d-\d\d-\d\d\b')) from documents) group by 1, 2")
+def extract_entities(t):
+    """Customer ids and dates mentioned, by how many documents."""
+
+    def of(kind: str, pattern: str):
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    found = F.concat(of("crid", r"CRID-\d{6}"), of("date", r"\b20\d\d-\d\d-\d\d\b"))
+    e = t.select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.*")
+    return e.groupBy("kind", "value").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+@query(
+    "documents",
+    f"""with h as (select count(*) as n, count(*) - count(distinct substr(sha256({_NORM}), 1, 16)) as dup, count(*) filter (indexed_at < timestamp '2025-01-01') as stale, count(distinct category) filter (category is null) as gaps from documents where text is not null)
+select n::bigint as total, dup::bigint as duplicates, round(greatest(0, 1 - least(0.3, 3.0 * dup / n) - least(0.2, 2.0 * stale / n) - least(0.2, 0.04 * gaps)), 6)::double as health from h""",
+)
+def index_health(t):
+    t = t.where("text is not null")
+    h = t.agg(
+        F.count("*").alias("total"),
+        (F.count("*") - F.count_distinct(X.content_hash(F.col("text")))).alias("duplicates"),
+        F.count_if(F.col("indexed_at") < F.lit("2025-01-01").cast("timestamp_ntz")).alias("stale"),
+    )
+    health = 1 - F.least(F.lit(0.3), 3.0 * F.col("duplicates") / F.col("total")) - F.least(F.lit(0.2), 2.0 * F.col("stale") / F.col("total"))
+    return h.select("total", "duplicates", F.round(F.greatest(F.lit(0.0), health), 6).alias("health"))
+
+
+def _related(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of one file that share most tags with a document; the best three for every twentieth id.
+
+    Every row whose id is divisible by 20 is asked for, against all rows of its category.
+    """
+    t = table(spark, d, "documents").where("size(tags) > 0").select("doc_id", "category", "tags")
+    t = t.where("category is not null")
+    tags = t.select("doc_id", "category", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
+    q = tags.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "category", F.col("n").alias("nq"), "tag")
+    shared = q.join(tags, ["category", "tag"]).where("query_id <> doc_id").groupBy("query_id", "doc_id", "nq", "n").agg(F.count("*").alias("s"))
+    score = F.round(F.col("s") / (F.col("nq") + F.col("n") - F.col("s")), 6)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return shared.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query_id", "doc_id", "score", "rank")
+
+
+QUERIES["related_documents"] = _related
+SQL["related_documents"] = """with t as (select doc_id, category, tags from documents where len(tags) > 0 and category is not null),
+p as (select q.doc_id as query_id, t.doc_id, len(list_intersect(q.tags, t.tags)) s, len(q.tags) + len(t.tags) n from t q join t on q.category = t.category and q.doc_id % 20 = 0 and q.doc_id <> t.doc_id),
+r as (select query_id, doc_id, round(s::double / (n - s), 6) as score from p where s > 0)
+select * from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from r) where rank <= 3"""
