@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import content_hash, overlap
+from wayfold.runtime import cut
 
 
 def keyword_search(docs: DataFrame, query: str, limit: int = 5, tags: list[str] | None = None, category: str | None = None, match_all: bool = False) -> DataFrame:
@@ -43,11 +44,9 @@ def near_copies(docs: DataFrame, least: float = 0.95) -> DataFrame:
     two sets that similar share one of the first n - ceil(least * n) + 1 words.
     Result: doc_id, class_id, links (other classes linked to its class).
     """
-    from wayfold.runtime import cut
-
     w = docs.where("text is not null").select("doc_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n\f\x0b]+"), lambda x: x != "")).alias("ws"))
     w = w.where("size(ws) > 0").withColumn("set", F.sha2(F.array_join(F.array_sort("ws"), "\u0001"), 256))
-    member = cut(w.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.collect_set("doc_id").alias("docs"), F.any_value("ws").alias("ws")))
+    member = cut(w.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.any_value("ws").alias("ws")))
     one = member.select("class_id", "ws", F.size("ws").alias("n"))
     rarity = one.select(F.explode("ws").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
     tokens = one.select("class_id", "n", F.explode("ws").alias("x")).join(rarity, "x")
@@ -59,8 +58,8 @@ def near_copies(docs: DataFrame, least: float = 0.95) -> DataFrame:
     shared = F.size(F.array_intersect("wa", "wb"))
     links = near.join(left, "a").join(right, "b").where(shared / (F.size("wa") + F.size("wb") - shared) >= least)
     count = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-    rows = member.select("class_id", F.explode("docs").alias("doc_id"))
-    return rows.join(count, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    classes = member.select("set", "class_id").join(count, "class_id", "left")
+    return w.select("doc_id", "set").distinct().join(classes, "set").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def merge_copies(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.runtime import bounded_rows
+
 #: Most query vectors a search takes at once; they are sent to every task.
 MOST_QUERIES = 10_000
 
@@ -54,11 +58,6 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame
     keeps its own k best per query before anything is shuffled, so that a query costs
     k rows a task.
     """
-    import numpy as np
-    import pandas as pd
-
-    from wayfold.runtime import bounded_rows
-
     asked = bounded_rows(queries.select("vec_id", "embedding").where("embedding is not null"), MOST_QUERIES, "query vectors")
     schema = "query_id bigint, vec_id bigint, label int, score double"
     if not asked:

@@ -7,7 +7,6 @@ what a run has done is in its checkpoint, so a restart goes on where it stopped.
 
 from __future__ import annotations
 
-import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -144,7 +143,3 @@ def current(spark: SparkSession, target: str) -> str:
             return f"{target}/v={done[-1]}"
     raise FileNotFoundError(target)
 
-
-def drop_folder(path: str) -> None:
-    """Remove a local folder of a finished run."""
-    shutil.rmtree(path.removeprefix("file:").replace("///", "/"), ignore_errors=True)
