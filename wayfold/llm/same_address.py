@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wayfold.functions.postal import STREET_TYPES
 from wayfold.llm.address_parts import Parser
