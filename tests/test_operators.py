@@ -94,7 +94,7 @@ def test_near_copies(spark):
     base = [f"w{i}" for i in range(100)]
     docs = [(1, " ".join(base)), (2, " ".join(reversed(base))), (3, " ".join([*base[:98], "x", "y"])), (4, " ".join(base[:50])), (5, None), (6, ""), (7, " ".join([*base, "z"]))]
     got = {r.doc_id: (r.class_id, r.links) for r in D.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
-    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 0), 7: (7, 1)} or got == {1: (1, 2), 2: (1, 2), 3: (3, 2), 4: (4, 0), 7: (7, 2)}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 2), 4: (4, 0), 7: (7, 2)}
     j = lambda a, b: len(a & b) / len(a | b)
     sets = {i: set(t.split()) for i, t in docs if t}
     assert got[3][1] == sum(j(sets[3], sets[i]) >= 0.95 for i in (1, 4, 7))
