@@ -294,7 +294,7 @@ def locations(records: DataFrame, reference: DataFrame) -> DataFrame:
             break
         parsed = cut(rewrite(parsed, new))
     words = parsed.where("number <> ''").select(_place().alias("p"), "number", F.explode("name").alias("w")).distinct()
-    words = words.groupBy("w").count().where(F.col("count") >= ESTABLISHED).select("w")
+    words = cut(words.groupBy("w").count().where(F.col("count") >= ESTABLISHED).select("w"))
     tagged = parsed.select("id", F.explode_outer("name").alias("w")).join(words.withColumn("k", F.col("w")), "w", "left")
     tagged = tagged.groupBy("id").agg(F.sort_array(F.collect_set("k")).alias("known"))
     parts = ("number", "direction", "type", "unit", "urb", "box", "town", "state")
@@ -306,13 +306,13 @@ def locations(records: DataFrame, reference: DataFrame) -> DataFrame:
     boxes = parsed.where("box <> ''").select("id", F.concat_ws("|", F.when(F.col("place") == "?", F.concat_ws("/", F.lit("?"), "town", "state")).otherwise(F.col("place")), F.lit("po"), "box").alias("location"))
     doors = parsed.where("box = '' and number <> '' and size(name) > 0")
     written = doors.groupBy("sig").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("place", "number", "direction", "type", "tail", "unit", "urb", "town", "state", "name", "known")])
-    settled = cut(settle_doors(written))
-    nowhere = (F.col("s.place") == "?") & (F.col("s.town") == "")
-    known = doors.alias("d").join(settled.alias("s"), "sig")
+    settled = settle_doors(written)
+    nowhere = (F.col("place") == "?") & (F.col("s_town") == "")
+    known = cut(doors.alias("d").join(settled.select("sig", F.col("town").alias("s_town"), "location").alias("s"), "sig"))
     sure = known.where(~nowhere).select("id", "location")
-    left = known.where(nowhere).select("d.*").unionByName(parsed.where("box = '' and (number = '' or size(name) = 0)"), allowMissingColumns=True)
-    left = _respell(left.where("size(name) > 0"), words.select("w"))
-    lost = _only_fit(left, sure.select("location").distinct())
+    left = known.where(nowhere).drop("s_town", "location").unionByName(parsed.where("box = '' and (number = '' or size(name) = 0)"), allowMissingColumns=True)
+    left = cut(_respell(left.where("size(name) > 0"), words))
+    lost = cut(_only_fit(left, sure.select("location").distinct()))
     alone = known.where(nowhere).select("id", "location").join(lost.select("id"), "id", "left_anti")
     return boxes.unionByName(sure).unionByName(lost).unionByName(alone)
 
