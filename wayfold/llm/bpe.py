@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 
 #: The pattern that cuts text before merges (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same pattern for texts of ASCII only, where it is quicker to match.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"""
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
 #: A part of more bytes is merged with a heap; the result is the same.
@@ -86,7 +89,8 @@ class Encoder:
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.ranks = ranks
         self.pattern = regex.compile(PATTERN)
-        self.known: dict[str, list[int]] = {}
+        self.ascii_pattern = re.compile(ASCII_PATTERN)
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def learn(self, parts: Iterable[str]) -> None:
         """Put the ids of unknown parts into ``known``."""
@@ -94,10 +98,10 @@ class Encoder:
         for part in parts:
             raw = part.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
-            if whole is not None and len(raw) == 1:
-                self.known[part] = [whole]
+            if whole is not None:  # merging ends with the token of the whole part
+                self.known[part] = np.int32(whole).tobytes()
             elif len(raw) > MATRIX_BYTES:
-                self.known[part] = self._heap(raw)
+                self.known[part] = np.array(self._heap(raw), np.int32).tobytes()
             else:
                 n = len(raw)  # lengths up to 16 have their own bucket, longer ones share powers of 1.25
                 buckets.setdefault(n if n <= 16 else 16 + int(np.log(n / 16) / np.log(1.25)) + 1, []).append((part, raw))
@@ -109,14 +113,13 @@ class Encoder:
                 for (part, _), ids in zip(some, self._matrix([r for _, r in some])):
                     self.known[part] = ids
 
-    def _matrix(self, raws: list[bytes]) -> list[list[int]]:
-        wide = max(map(len, raws))
-        ids = np.full((len(raws), wide), -1, np.int32)
-        for i, r in enumerate(raws):
-            ids[i, : len(r)] = self.byte_id[np.frombuffer(r, np.uint8)]
+    def _matrix(self, raws: list[bytes]) -> list[bytes]:
+        size = np.array([len(r) for r in raws])
+        ids = np.full((len(raws), int(size.max())), -1, np.int32)
+        ids[np.arange(ids.shape[1]) < size[:, None]] = self.byte_id[np.frombuffer(b"".join(raws), np.uint8)]
         rank = self.table[ids[:, :-1], ids[:, 1:]]
         rows = np.arange(len(raws))
-        out: list[list[int]] = [[]] * len(raws)
+        out = [b""] * len(raws)
         while len(rows):
             if ids.shape[1] < 2:
                 best = np.full(len(rows), NONE, np.int32)
@@ -126,8 +129,9 @@ class Encoder:
                 best = rank[np.arange(len(rows)), at]
             done = best == NONE
             if done.any():
-                for i, line in zip(rows[done].tolist(), ids[done].tolist()):
-                    out[i] = [x for x in line if x >= 0]
+                ended = ids[done]
+                for i, line, n in zip(rows[done].tolist(), ended, (ended >= 0).sum(axis=1).tolist()):
+                    out[i] = line[:n].tobytes()
                 on = ~done
                 rows, ids, rank, at, best = rows[on], ids[on], rank[on], at[on], best[on]
                 if not len(rows):
@@ -135,11 +139,14 @@ class Encoder:
             n, wide = ids.shape
             each = np.arange(n)
             ids[each, at] = best
-            cols = np.arange(wide - 1)
-            ids = np.take_along_axis(ids, cols[None, :] + (cols[None, :] > at[:, None]), axis=1)
+            keep = np.ones((n, wide), bool)
+            keep[each, at + 1] = False
+            ids = ids[keep].reshape(n, wide - 1)
             if wide > 2:
-                cols = cols[:-1]
-                rank = np.take_along_axis(rank, cols[None, :] + (cols[None, :] >= at[:, None]), axis=1)
+                keep = keep[:, 1:]
+                keep[:] = True
+                keep[each, at] = False
+                rank = rank[keep].reshape(n, wide - 2)
                 for shift in (-1, 0):
                     col = at + shift
                     ok = (col >= 0) & (col < wide - 2)
@@ -181,8 +188,8 @@ class Encoder:
         return int(self.table[np.array([a]), np.array([b])][0])
 
     def parts(self, texts: list[str | None]) -> list[list[str]]:
-        find = self.pattern.findall
-        cut = [find(t) if t else [] for t in texts]
+        find, quick = self.pattern.findall, self.ascii_pattern.findall
+        cut = [(quick(t) if t.isascii() else find(t)) if t else [] for t in texts]
         unknown = set().union(*cut).difference(self.known) if cut else set()
         if len(self.known) + len(unknown) > REMEMBERED:
             self.known.clear()
@@ -191,21 +198,19 @@ class Encoder:
             self.learn(unknown)
         return cut
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as packed 32-bit integers."""
         cut = self.parts(texts)
-        known = self.known
-        out = []
-        for parts in cut:
-            ids: list[int] = []
-            for p in parts:
-                ids += known[p]
-            out.append(ids)
-        return out
+        known = self.known.__getitem__
+        return [b"".join(map(known, parts)) for parts in cut]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
 
     def count(self, texts: list[str | None]) -> list[int]:
         cut = self.parts(texts)
-        size = {p: len(self.known[p]) for p in set().union(*cut)} if cut else {}
-        return [sum(map(size.__getitem__, parts)) for parts in cut]
+        known = self.known.__getitem__
+        return [sum(map(len, map(known, parts))) // 4 for parts in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -230,10 +235,10 @@ def encode_ids(df: DataFrame, key: str = "doc_id", text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         for b in batches:
-            lists = enc.encode(b.column(1).to_pylist())
+            lists = enc.packed(b.column(1).to_pylist())
             ends = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum([len(x) for x in lists], out=ends[1:])
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(ends[-1]))
+            np.cumsum([len(x) // 4 for x in lists], out=ends[1:])
+            flat = np.frombuffer(b"".join(lists), np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["k", "v"])
 
     schema = T.StructType([T.StructField("k", kind), T.StructField("v", T.ArrayType(T.IntegerType(), False))])
