@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,37 @@ def session(app: str = "wayfold", **conf: str) -> SparkSession:
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    They import it for Arrow functions and need not find it on their own path.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    here = Path(__file__).resolve().parent
+    if not here.is_dir():  # run from an archive that is there already
+        return
+    folder = Path(tempfile.mkdtemp(prefix="wayfold-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "wayfold.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(folder / "wayfold.zip"))
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One table of a data folder; a single file or a folder of part files."""
+    ship(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
