@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.functions.text import overlap
 from wayfold.runtime import bounded_rows
 
 #: Most query vectors a search takes at once; they are sent to every task.
@@ -95,3 +99,28 @@ def vote(neighbours: DataFrame, by: str = "query_id", label: str = "label") -> D
     """The majority label of the neighbours; equal votes go to the better best rank."""
     n = neighbours.groupBy(by, label).agg(F.count("*").alias("votes"), F.min("rank").alias("first"))
     return n.groupBy(by).agg(F.max_by(label, F.struct("votes", (-F.col("first")).alias("f"))).alias("route"), F.max("votes").alias("votes"))
+
+
+def hashed_vector(text: str, dim: int) -> list[float]:
+    """Words counted in ``dim`` buckets by their MD5."""
+    out = [0.0] * dim
+    for w in re.findall("[a-z0-9]+", text.lower()):
+        out[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim] += 1.0
+    return out
+
+
+def hashed(text: str, dim: int) -> Column:
+    """A fixed embedding by the hashing trick, in Arrow batches; a stand-in for a model. Null texts have none."""
+
+    @F.pandas_udf("array<double>")
+    def embed(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else hashed_vector(t, dim))
+
+    return embed(F.col(text))
+
+
+def hybrid(docs: DataFrame, query: str, dim: int = 16, limit: int = 10) -> DataFrame:
+    """Half the share of query words a text holds, half the cosine of hashed embeddings; a top-k, ties by id."""
+    near = cosine(F.col("_v"), F.array(*[F.lit(x) for x in hashed_vector(query, dim)]))
+    score = 0.5 * overlap(F.col("text"), query) + 0.5 * F.coalesce(near, F.lit(0.0))
+    return docs.where("text is not null").withColumn("_v", hashed("text", dim)).withColumn("score", F.round(score, 6)).drop("_v").orderBy(F.desc("score"), "doc_id").limit(limit)

@@ -86,3 +86,16 @@ def embed_pool(v):
 @query("select label, count(*)::bigint as n, round(avg(embedding[1]::double), 6)::double as c1, round(avg(embedding[64]::double), 6)::double as c64 from embeddings group by 1")
 def label_centroids(v):
     return v.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.get("embedding", F.lit(0)).cast("double")), 6).alias("c1"), F.round(F.avg(F.get("embedding", F.lit(63)).cast("double")), 6).alias("c64"))
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by words and by hashed embeddings together."""
+    return V.hybrid(table(spark, d, "documents"), "letter came back without a unit", 16, 20).select("doc_id", "score")
+
+
+_H = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
+_V = "list_transform(range(0, 16), lambda i: len(list_filter(list_transform(" + _H + ", lambda w: ('0x' || substr(md5(w), 1, 8))::bigint % 16), lambda b: b = i))::double)"
+QUERIES["hybrid_search"] = _hybrid
+SQL["hybrid_search"] = f"""with q as (select {_V.format("'letter came back without a unit'")} as q),
+d as (select doc_id, len(list_intersect(list_distinct({_H.format("text")}), ['letter', 'came', 'back', 'without', 'a', 'unit']))::double / 6 as words, {_V.format("text")} as v from documents where text is not null)
+select doc_id, round(0.5 * words + 0.5 * coalesce(case when list_sum(v) > 0 then list_cosine_similarity(v, q) end, 0), 6) as score from d, q order by 2 desc, 1 limit 20"""
