@@ -290,6 +290,31 @@ def test_same_address(spark):
     assert {tuple(r) for r in same_address_pairs(v, f, ref).collect()} == want
 
 
+def pairs_of(spark, typed):
+    """Pairs found among (id, address, city, state, zip)."""
+    v, f, ref, _ = address_tables(spark)
+    rows = spark.createDataFrame([(*t, None) for t in typed], "id bigint, address string, city string, state string, zip string, correct_address string")
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("correct_street", "correct_city", "correct_state", "correct_zip")})
+    return {tuple(r) for r in same_address_pairs(rows, f.limit(0), ref).collect()}
+
+
+def test_boxes_settled_and_looked_up(spark):
+    typed = [
+        (1, "PO Box 12", "Yssing Fork", "TX", ""), (2, "PO Box 12", "Yssinf Fork", "TX", ""), (3, "PO Box 12", "Yssing Fork", "", ""), (4, "PO Box 12", "", "", ""),
+        (5, "PO Box 13", "Yssing Fork", "TX", ""), (6, "PO Box 13", "Yssing Fork", "NJ", ""), (7, "PO Box 13", "Yssing Fork", "", ""), (8, "PO Box 13", "", "TX", ""),
+        (9, "PO Box 14", "Fennburg", "VT", "05001"), (10, "PO Box 14", "", "", ""),
+    ]
+    assert pairs_of(spark, typed) == {(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if a < b} | {(5, 8), (9, 10)}
+
+
+def test_records_without_a_street(spark):
+    typed = [
+        (1, "31 Elm Glen Ct Apt 4", "Fennburg", "VT", "05001"), (2, "31 Apt 4", "Fennburg", "VT", "05001"),
+        (3, "32 Elm Glen Ct", "Fennburg", "VT", "05001"), (4, "32 Pine Marsh Trl", "Fennburg", "VT", "05001"), (5, "32", "Fennburg", "VT", "05001"),
+    ]
+    assert pairs_of(spark, typed) == {(1, 2)}
+
+
 def test_same_address_empty(spark):
     v, f, ref, _ = address_tables(spark)
     assert same_address_pairs(v.limit(0), f.limit(0), ref).count() == 0

@@ -285,6 +285,51 @@ def settle_doors(parsed: DataFrame) -> DataFrame:
     return doors.mapInPandas(run, "sig string, place string, town string, location string")
 
 
+def settle_boxes(boxes: list[dict]) -> None:
+    """Settle boxes of one number in unlisted towns: fills ``town`` and ``state`` of each in place.
+
+    The weightiest spelling of a town leads.  A box without a state is that of the only
+    like town, of one spelled the same first; where several fit it stays by itself and
+    isn't ``sure``, for it is no further location.
+    """
+    leaders: list[tuple[str, str]] = []
+    weight: Counter = Counter()
+    for d in boxes:
+        weight[d["town"], d["state"]] += d["n"]
+    to, sure = {}, {}
+    for k in sorted(weight, key=lambda k: (k[1] == "", -weight[k], k)):
+        fit = [lead for lead in leaders if (lead[1] == k[1] or not k[1]) and (lead[0] == k[0] or alike(lead[0], k[0]) >= 0.65)]
+        if k[1]:
+            fit = sorted(fit, key=lambda lead: -alike(lead[0], k[0]))[:1]
+        else:
+            fit = [lead for lead in fit if lead[0] == k[0]] or fit
+        sure[k] = len(fit) <= 1
+        if len(fit) != 1:
+            leaders.append(k)
+            fit = [k]
+        to[k] = fit[0]
+    for d in boxes:
+        d["sure"] = sure[d["town"], d["state"]]
+        d["town"], d["state"] = to[d["town"], d["state"]]
+
+
+def _settled_boxes(boxes: DataFrame) -> DataFrame:
+    """(id, place, town, location, sure) of every record of a PO box; a listed place is settled as it is."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        found = b.to_dict("records")
+        for d in found:
+            d["town_was"], d["state_was"] = d["town"], d["state"]
+        settle_boxes(found)
+        return pd.DataFrame([(d["box"], d["town_was"], d["state_was"], d["town"], d["state"], d["sure"]) for d in found], columns=["box", "town", "state", "s_town", "s_state", "sure"])
+
+    free = boxes.where("place = '?' and town <> ''").groupBy("box", "town", "state").agg(F.count("*").alias("n"))
+    to = free.groupBy("box").applyInPandas(run, "box string, town string, state string, s_town string, s_state string, sure boolean")
+    where = F.concat_ws("/", F.lit("?"), F.coalesce("s_town", "town"), F.coalesce("s_state", "state"))
+    location = F.concat_ws("|", F.when(F.col("place") == "?", where).otherwise(F.col("place")), F.lit("po"), "box")
+    return boxes.join(to, ["box", "town", "state"], "left").select("id", "place", "town", location.alias("location"), F.coalesce("sure", F.lit(True)).alias("sure"))
+
+
 def locations(records: DataFrame, reference: DataFrame) -> DataFrame:
     """(id, location) of every record that denotes a location."""
     parsed = cut(parse_records(records, reference))
@@ -303,18 +348,21 @@ def locations(records: DataFrame, reference: DataFrame) -> DataFrame:
     parsed = parsed.withColumn("tail", F.when(F.col("type") == "calle", "").otherwise(F.coalesce(_full_type()[F.col("type")], F.lit(""))))
     parsed = parsed.withColumn("sig", F.concat_ws("|", "place", F.array_join("name", " "), *parts))
     parsed = cut(parsed)
-    boxes = parsed.where("box <> ''").select("id", F.concat_ws("|", F.when(F.col("place") == "?", F.concat_ws("/", F.lit("?"), "town", "state")).otherwise(F.col("place")), F.lit("po"), "box").alias("location"))
+    boxes = cut(_settled_boxes(parsed.where("box <> ''")))
     doors = parsed.where("box = '' and number <> '' and size(name) > 0")
     written = doors.groupBy("sig").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("place", "number", "direction", "type", "tail", "unit", "urb", "town", "state", "name", "known")])
     settled = settle_doors(written)
     nowhere = (F.col("place") == "?") & (F.col("s_town") == "")
     known = cut(doors.alias("d").join(settled.select("sig", F.col("town").alias("s_town"), "location").alias("s"), "sig"))
     sure = known.where(~nowhere).select("id", "location")
+    no_place = (F.col("place") == "?") & (F.col("town") == "")
     left = known.where(nowhere).drop("s_town", "location").unionByName(parsed.where("box = '' and (number = '' or size(name) = 0)"), allowMissingColumns=True)
-    left = cut(_respell(left.where("size(name) > 0"), words))
-    lost = cut(_only_fit(left, sure.select("location").distinct()))
-    alone = known.where(nowhere).select("id", "location").join(lost.select("id"), "id", "left_anti")
-    return boxes.unionByName(sure).unionByName(lost).unionByName(alone)
+    left = _respell(left, words).unionByName(parsed.where("box <> ''").where(no_place), allowMissingColumns=True)
+    there = sure.select("location").unionByName(boxes.where(~no_place).where("sure").select("location")).distinct()
+    sure = sure.unionByName(boxes.where(~no_place).select("id", "location"))
+    lost = cut(_only_fit(cut(left), there, reference))
+    alone = known.where(nowhere).select("id", "location").unionByName(boxes.where(no_place).select("id", "location"))
+    return sure.unionByName(lost).unionByName(alone.join(lost.select("id"), "id", "left_anti"))
 
 
 def _full_type() -> Column:
@@ -336,30 +384,47 @@ def _respell(left: DataFrame, established: DataFrame) -> DataFrame:
     return rewrite(left, best.where("c = 1").select("old", "new"))
 
 
-_OPTIONS = ("place", "number", "direction", "type", "unit", "urb")
+_OPTIONS = ("place", "number", "direction", "name", "type", "unit", "urb", "box", "state")
 
 
-def _only_fit(left: DataFrame, there: DataFrame) -> DataFrame:
-    """(id, location) of records without number or place that exactly one location fits.
+def _only_fit(left: DataFrame, there: DataFrame, reference: DataFrame) -> DataFrame:
+    """(id, location) of records that leave out number, name or place, and that exactly one location fits.
 
-    Every location is counted under each key of its name and a subset of its other
-    parts that some record has; a record looks up the key of all parts it has.  The
-    cost is at most 64 keys a location, whatever shares a key.
+    Every location is counted under each key of a subset of its parts that some record
+    has; a record looks up the key of all parts it has.  The cost is one key a location
+    and subset in use, whatever shares a key.  A record that names a street is looked up
+    without its state and unlisted town; one without street takes both into account, and a
+    location whose state isn't known fits any.
     """
-    parts = F.split("location", r"\|")
-    locs = there.where("location not like '%|po|%'").select("location", *[parts[i].alias(c) for i, c in enumerate(("place", "number", "direction", "name", "type", "unit", "urb"))])
-
-    def key(has) -> Column:
-        return F.concat_ws("|", "name", F.col("mask").cast("string"), *[F.when(has(i, c), F.col(c)).otherwise(F.lit("*")) for i, c in enumerate(_OPTIONS)])
-
+    at = F.split("location", r"\|")
+    part = lambda i: F.coalesce(F.get(at, F.lit(i)), F.lit(""))
+    is_box = part(1) == "po"
+    in_town = F.split(F.regexp_replace(part(0), r"^\?/", ""), "/")
+    listed = reference.select(F.col("city_ref_id").cast("string").alias("place"), F.col("state").alias("r_state")).dropDuplicates(["place"])
+    door = {c: F.when(is_box, "").otherwise(part(i)) for i, c in enumerate(("number", "direction", "name", "type", "unit", "urb"), 1)}
+    locs = there.select("location", F.when(F.size(in_town) > 1, in_town[0]).otherwise(part(0)).alias("place"), *[c.alias(n) for n, c in door.items()], F.when(is_box, part(2)).otherwise("").alias("box"), F.get(in_town, F.lit(1)).alias("t_state"))
+    locs = locs.join(listed, "place", "left").withColumn("state", F.lower(F.coalesce("t_state", "r_state", F.lit("")))).drop("t_state", "r_state")
+
+    def key(state: Column) -> Column:
+        has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+        return F.concat_ws("|", F.col("mask").cast("string"), *[F.when(has(i), state if c == "state" else F.col(c)).otherwise(F.lit("*")) for i, c in enumerate(_OPTIONS)])
+
+    street = F.size("name") > 0
+    place = F.when((F.col("place") == "?") & ~street, F.col("town")).otherwise(F.col("place"))
+    listed_place = F.col("city") >= 0
+    state = F.when(listed_place | street & (F.col("box") == ""), "").otherwise(F.lower(F.coalesce("state", F.lit(""))))
+    asks = left.withColumns({"place": place, "state": state, "name": F.when(F.col("box") == "", F.array_join("name", " ")).otherwise("")})
+    for c in ("number", "direction", "type", "unit", "urb"):  # a box is told by its number alone
+        asks = asks.withColumn(c, F.when(F.col("box") == "", F.col(c)).otherwise(""))
     mask = sum((F.when((F.col(c) != "") & (F.col(c) != "?"), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(_OPTIONS)), F.lit(0))
-    asks = left.withColumns({"name": F.array_join("name", " "), "mask": mask})
-    asks = asks.withColumn("key", key(lambda i, c: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0))
-    masks = [r["mask"] for r in asks.select("mask").distinct().collect()]  # at most 64
+    told = F.concat("name", "number", "unit", "urb", "box")
+    asks = asks.where(told != "").withColumn("mask", mask)
+    asks = asks.withColumn("key", F.explode(F.array_distinct(F.array(key(F.col("state")), key(F.lit(""))))))
+    masks = [r["mask"] for r in asks.select("mask").distinct().collect()]  # at most one for each subset of the parts
     made = locs.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")) if masks else locs.withColumn("mask", F.lit(0)).limit(0)
-    made = made.withColumn("key", key(lambda i, c: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0))
-    only = made.groupBy("key").agg(F.count("*").alias("c"), F.min("location").alias("location")).where("c = 1")
-    return asks.select("id", "key").join(only, "key").select("id", "location")
+    fits = made.withColumn("key", key(F.col("state"))).groupBy("key").agg(F.count("*").alias("c"), F.min("location").alias("location"))
+    only = asks.select("id", "key").join(fits, "key").groupBy("id").agg(F.sum("c").alias("c"), F.min("location").alias("location"))
+    return only.where("c = 1").select("id", "location")
 
 
 def same_address_pairs(validation: DataFrame, fuzzy: DataFrame, reference: DataFrame) -> DataFrame:
