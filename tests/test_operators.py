@@ -142,6 +142,26 @@ def test_fuzzy_matches(spark):
     assert set(got) == {(1, 2), (2, 1)} and got[1, 2] > 0.8
 
 
+def test_fuzzy_matches_of_other_and_no_numbers(spark):
+    rows = [(1, "1234 Main St", "Oakton", "NJ", "07001"), (2, "1243 Main St", "Oakton", "NJ", "07001"), (3, "Main St", "Oakton", "NJ", "07001"), (4, "1234 Main St", "Oakton", "NJ", None), (5, "9 Elm Ave", "Fennburg", "VT", "05001"), (6, "1234 Main St", "Fennburg", "VT", "05002")]
+    p = A.parse(spark.createDataFrame(rows, "id int, address string, city string, state string, zip string"))
+    got = {(r.p_id, r.i_id): r for r in A.fuzzy_matches(p, p, "id", "id", same_number=False).where("p_id <> i_id").collect()}
+    near = {(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if a != b}
+    assert near <= set(got) and not any(5 in k for k in got)
+    assert got[1, 2].match_type == "fuzzy_zip" and got[4, 1].match_type == "fuzzy_city" and got[1, 4].match_type == "fuzzy_street"
+    parts = {r.id: r.asDict() for r in p.collect()}
+    assert all(r.score == pytest.approx(A.address_similarity(parts[a], parts[b])["overall"], abs=1e-6) for (a, b), r in got.items())
+
+
+def test_verify_without_a_number(spark, monkeypatch):
+    from wayfold.plans import addresses as Q
+
+    rows = [(1, "Main St", "Oakton", "NJ", "07001", None), (2, "Main St", "Oakton", "NJ", "07001", None)]
+    t = spark.createDataFrame(rows, "id int, address string, city string, state string, zip string, error_type string")
+    monkeypatch.setattr(Q, "table", lambda *_: t)
+    assert {(r.id, r.score, r.status) for r in Q.QUERIES["addr_verify"](spark, "").collect()} == {(1, 1.0, "verified"), (2, 1.0, "verified")}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 2), (3, [2.0, 0.0], 1), (4, [0.0, 0.0], 3), (5, None, 1)], "vec_id bigint, embedding array<float>, label int")
     assert [r.vec_id for r in V.nearest(df, [1.0, 0.0], 2).collect()] == [1, 3]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -170,6 +170,7 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
+@lru_cache(1 << 18)
 def best_match(a: str | None, b: str | None, least: float) -> float:
     """The best of matching blocks, edits, sound and prefix; a fifth less below ``least``."""
     if not a or not b:
@@ -220,22 +221,35 @@ def similarity(a: str, b: str) -> Column:
     return score(F.col(a), F.col(b))
 
 
-def fuzzy_matches(probes: DataFrame, index: DataFrame, probe_id: str, index_id: str, least: float = 0.6, limit: int = 5) -> DataFrame:
+def fuzzy_matches(probes: DataFrame, index: DataFrame, probe_id: str, index_id: str, least: float = 0.6, limit: int = 5, same_number: bool = True) -> DataFrame:
     """The best index addresses for each parsed probe, by blocks and then by similarity.
 
-    Blocks are the ZIP and number, the city, state and number, and the street's name
-    in one form with the number; a pair met in several is scored once.  A block holds
-    one number only, so that a populous ZIP isn't compared with itself.
+    Blocks are the ZIP, else the city and state, and besides the street's name in one
+    form; a pair met in several is scored once.  With ``same_number`` a block holds one
+    house number only, rows without one are left out and the city counts with a ZIP too.
+    Names that meet again in a block are compared once.
     """
-    keys = {"zip": F.concat_ws("|", "zip5", "number"), "city": F.concat_ws("|", city_form(F.col("place")), "code", "number"), "street": F.concat_ws("|", line_form(F.col("name")), "number")}
-
-    def blocks(df: DataFrame, key: str, name: str) -> DataFrame:
-        k = F.explode(F.array(*[F.struct(F.lit(i).alias("order"), F.lit(n).alias("by"), F.concat(F.lit(n), F.lit(":"), c).alias("key")) for i, (n, c) in enumerate(keys.items())]))
-        return df.where("number is not null").select(F.col(key).alias(f"{name}_id"), F.struct(*_KEYS).alias(name), k.alias("k")).select(f"{name}_id", name, "k.*")
-
-    p, i = blocks(probes, probe_id, "p"), blocks(index, index_id, "i").drop("order", "by")
-    pairs = p.join(i, "key").groupBy("p_id", "i_id").agg(F.any_value("p").alias("p"), F.any_value("i").alias("i"), F.min(F.struct("order", "by")).alias("b"))
-    scored = pairs.select("p_id", "i_id", F.concat(F.lit("fuzzy_"), "b.by").alias("match_type"), F.round(similarity("p", "i"), 6).alias("score")).where(F.col("score") >= least)
+    street, city = line_form(F.col("name")), F.concat(city_form(F.col("place")), F.lit("|"), "code")
+    if same_number:
+        keys = {"zip": F.concat_ws("|", "zip5", "number"), "city": F.concat_ws("|", city_form(F.col("place")), "code", "number"), "street": F.concat_ws("|", street, "number")}
+        asked = keys
+        probes, index = probes.where("number is not null"), index.where("number is not null")
+    else:
+        keys = {"zip": F.col("zip5"), "city": city, "street": F.nullif(street, F.lit(""))}
+        asked = keys | {"city": F.when(F.col("zip5").isNull(), city)}
+
+    def blocks(df: DataFrame, key: str, name: str, keys: dict[str, Column]) -> DataFrame:
+        k = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(n).alias("by"), F.concat(F.lit(n), F.lit(":"), c).alias("key")) for i, (n, c) in enumerate(keys.items())])
+        k = F.explode(F.filter(k, lambda x: x["key"].isNotNull()))
+        return df.select(F.col(key).alias(f"{name}_id"), F.struct(*_KEYS).alias(name), city.alias(f"{name}_city"), k.alias("k")).select(f"{name}_id", name, f"{name}_city", "k.*")
+
+    pairs = blocks(probes, probe_id, "p", asked).join(blocks(index, index_id, "i", keys).drop("order", "by"), "key")
+    if same_number:
+        pairs = pairs.groupBy("p_id", "i_id").agg(F.any_value("p").alias("p"), F.any_value("i").alias("i"), F.min(F.struct("order", "by")).alias("b")).select("p_id", "i_id", "p", "i", "b.*")
+    else:  # what the ZIP or else the city has brought together isn't met again by the street
+        met = F.when(F.col("p.zip5").isNotNull(), F.col("p.zip5") == F.col("i.zip5")).otherwise(F.col("p_city") == F.col("i_city"))
+        pairs = pairs.where((F.col("by") != "street") | ~F.coalesce(met, F.lit(False)))
+    scored = pairs.select("p_id", "i_id", F.concat(F.lit("fuzzy_"), "by").alias("match_type"), F.round(similarity("p", "i"), 6).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("p_id").orderBy(F.desc("score"), "i_id")
     ranked = scored.withColumns({"rank": F.row_number().over(w), "gap": F.col("score") - F.lead("score").over(w)})
     return ranked.where(F.col("rank") <= limit)

@@ -188,14 +188,14 @@ def addr_exact_match(p, spark, d):
 @query()
 def addr_fuzzy_match(p, spark, d):
     """The best other typed addresses for each, with the gap to the next."""
-    m = A.fuzzy_matches(p, p, "id", "id", 0.6, 6).where("p_id <> i_id")
+    m = A.fuzzy_matches(p, p, "id", "id", 0.6, 6, same_number=False).where("p_id <> i_id")
     return m.select("p_id", "i_id", "match_type", "score", "rank", "gap")
 
 
 @query()
 def addr_verify(p, spark, d):
     """A ladder over the best match: verified, corrected, suggested or unverified."""
-    m = A.fuzzy_matches(p, p, "id", "id", 0.5, 2).where("p_id <> i_id").groupBy("p_id").agg(F.max("score").alias("score"))
+    m = A.fuzzy_matches(p, p, "id", "id", 0.5, 2, same_number=False).where("p_id <> i_id").groupBy("p_id").agg(F.max("score").alias("score"))
     s = F.coalesce("score", F.lit(0.0))
     status = F.when(s >= 0.95, "verified").when(s >= 0.85, "corrected").when(s >= 0.75, "suggested").otherwise("unverified")
     return p.select("id").join(m, F.col("id") == F.col("p_id"), "left").select("id", s.alias("score"), status.alias("status"))
