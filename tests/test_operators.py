@@ -172,6 +172,16 @@ def test_vectors(spark):
     assert ok == {1: True, 2: True, 3: True, 4: True, 5: False}
 
 
+def test_more_queries_than_a_block(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0], i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3)
+    want = sorted(map(tuple, V.nearest_of_many(df, df.where("vec_id % 2 = 0"), 3).collect()))
+    monkeypatch.setattr(V, "MOST_QUERIES", 4)
+    got = V.nearest_of_many(df, df.where("vec_id % 2 = 0"), 3)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 60
+    assert got.columns == ["query_id", "vec_id", "label", "score", "rank"]
+
+
 def test_language(spark, people):
     q = ["customers in TX", "west virginia people", "who moved from Ohio to Texas", "crid-17", "how many inactive in Flordia", "high movers", "show 500 customers", "stay in OR", None, ""]
     df = spark.createDataFrame([(x,) for x in q], "q string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import overlap
-from wayfold.runtime import bounded_rows
+from wayfold.runtime import cut
 
-#: Most query vectors a search takes at once; they are sent to every task.
+#: Most query vectors a block has; they are sent to every task.
 MOST_QUERIES = 10_000
 
 
@@ -58,14 +59,35 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, where: Column |
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest others of every query row, exact; (query_id, vec_id, label, score, rank).
 
-    A stated set of queries, at most MOST_QUERIES, goes to every task and each task
-    keeps its own k best per query before anything is shuffled, so that a query costs
-    k rows a task.
+    A block of at most MOST_QUERIES queries goes to every task and each task keeps its
+    own k best per query before anything is shuffled, so that a query costs k rows a
+    task.  More queries are worked on block by block, the driver holding two blocks at
+    most.
     """
-    asked = bounded_rows(queries.select("vec_id", "embedding").where("embedding is not null"), MOST_QUERIES, "query vectors")
-    schema = "query_id bigint, vec_id bigint, label int, score double"
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def best(asked: list) -> DataFrame:
+        return _nearest_of_block(vectors, asked, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    stated = queries.select("vec_id", "embedding").where("embedding is not null")
+    asked = stated.limit(MOST_QUERIES + 1).collect()
     if not asked:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, label int, score double, rank int")
+    if len(asked) <= MOST_QUERIES:
+        return best(asked)
+    # Of about half the size, so that chance makes none larger; repeated ids are cut in slices.
+    blocks = -(-2 * stated.count() // MOST_QUERIES)
+    found = []
+    for b in range(blocks):
+        asked = stated.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
+        found += [cut(best(asked[i : i + MOST_QUERIES])) for i in range(0, len(asked), MOST_QUERIES)]
+    whole = reduce(DataFrame.unionByName, found).drop("rank")
+    return whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest_of_block(vectors: DataFrame, asked: list, k: int) -> DataFrame:
+    """(query_id, vec_id, label, score): each task's k best of every query."""
+    schema = "query_id bigint, vec_id bigint, label int, score double"
     ids = np.array([r["vec_id"] for r in asked])
     q = np.array([r["embedding"] for r in asked], float)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
@@ -90,9 +112,7 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame
         if best is not None:
             yield best
 
-    found = vectors.select("vec_id", "embedding", "label").mapInPandas(run, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return vectors.select("vec_id", "embedding", "label").mapInPandas(run, schema)
 
 
 def vote(neighbours: DataFrame, by: str = "query_id", label: str = "label") -> DataFrame:
