@@ -378,6 +378,15 @@ def test_statistics_of_very_long_texts():
         assert describe(text, COMMON)["words"] >= 1
 
 
+def test_statistics_of_wordy_rows():
+    common = frozenset({"the", "of"})
+    row = "\t".join(f"the {a} of the {b}" for a, b in (("clerk", "town"), ("office", "river"), ("letter", "north"), ("street", "gate")))
+    s = describe("\n".join([row] * 3 + [row.replace("clerk", "warden")] * 3), common)
+    assert s["per_line"] > 12 and s["common"] >= 0.25 and s["grid"] == s["fields"] == 1.0
+    s = describe("\n".join(f"- the clerk of the office sent {w} letter of the town to the gate of the river" for w in ("one", "this", "that", "every")), common)
+    assert s["per_line"] > 12 and s["common"] >= 0.25 and s["items"] == 1.0 and s["run"] > 0
+
+
 def test_learned_accuracies():
     rng = np.random.default_rng(1)
     votes = np.array([0, 0, 1, 1, 2, 2, 3, 3])

@@ -38,6 +38,9 @@ MARKS = (" / ", " • ", "; ", " | ", " · ", " * ", " - ", " – ", " — ", "
 DAMAGE = re.compile(r"Ã|Â|â€|Ð|Ñ|ï¿½|å¤|�|[\u0080-\u009f]|\\x[0-9a-f]{2}|&#\d+;|%[0-9A-F]{2}")
 #: Four consonants in a row within a word of five letters or more.
 CLUSTER = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{5}|(?![a-z]*(?:ngth|tchs|ghts|rths|rsch|ndst|cht))[bcdfghjklmnpqrstvwxz]{4}")
+#: Without one of these there is no damage, or no foreign letter; quicker to look for.
+DAMAGE_MAYBE = re.compile(r"[ÃÂâÐÑïå�\u0080-\u009f\\&%]")
+FOREIGN_MAYBE = re.compile(r"[^\u0000-ɏ]")
 FOREIGN = re.compile(r"[^\W\d_\u0000-ɏ℀-⯿]")
 
 STATS = (
@@ -79,7 +82,7 @@ def fields_of(line: str) -> tuple[str, int]:
             n -= line.lstrip().startswith("|") + line.rstrip().endswith("|")
         if n > best[1]:
             best = (mark, n)
-    gaps = len(GAP.findall(line)) + 1
+    gaps = len(GAP.findall(line)) + 1 if "  " in line or "\t" in line else 1
     if best[1] < 4 and gaps > best[1]:
         best = ("  ", gaps)
     return best
@@ -114,13 +117,12 @@ def describe(text: str, common: frozenset[str]) -> dict:
     stops = sum(w[-1] in ".!?…" for w in words)
     if stops:
         out["sentence"] = n / stops
-    if out["common"] >= 0.25 and out["distinct"] > 0.06 and out["symbol"] < 0.2 and out["per_line"] > 12:
-        return out  # the remaining statistics can't reach a threshold here
     runs = RUN.findall(text)
     out["run"] = sum(map(len, runs)) / len(runs) if runs else 0.0
-    out["damage"] = len(DAMAGE.findall(text)) / chars
-    out["foreign"] = len(FOREIGN.findall(text)) / max(1, chars)
-    long_ = [w for w in plain if 5 <= len(w) <= 40 and w.isascii() and not any(map(str.isdigit, w))]
+    out["damage"] = len(DAMAGE.findall(text)) / chars if DAMAGE_MAYBE.search(text) else 0.0
+    out["foreign"] = len(FOREIGN.findall(text)) / max(1, chars) if FOREIGN_MAYBE.search(text) else 0.0
+    # Every function that asks for clusters asks for less than 0.12 common words too.
+    long_ = [] if out["common"] >= 0.12 else [w for w in plain if 5 <= len(w) <= 40 and w.isascii() and not any(map(str.isdigit, w))]
     out["clusters"] = sum(CLUSTER.search(w) is not None for w in long_) / n if long_ else 0.0
     body = lines[1:] if len(lines) > 1 and lines[0].endswith(":") else lines
     size = sum(map(len, body)) or 1
