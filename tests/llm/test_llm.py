@@ -21,7 +21,7 @@ from wayfold.llm.bpe import DEFAULT_RANKS, PATTERN, Encoder, PairTable, count_to
 from wayfold.llm.mixing import copies, mix, repetition_rates
 from wayfold.llm.places import Gazetteer, clean_zip, edits, map_places
 from wayfold.llm.quality import FUNCTIONS, TYPES, describe, learn, statistics, text_types
-from wayfold.llm.same_address import same_address_pairs, settle
+from wayfold.llm.same_address import mine_rewrites, same_address_pairs, settle
 from wayfold.llm.splitting import SPACE, split_documents, split_text
 
 
@@ -315,6 +315,12 @@ def test_records_without_a_street(spark):
     assert pairs_of(spark, typed) == {(1, 2)}
 
 
+def test_mines_slips_of_a_second_street(spark):
+    doors = [(1, n, ["brackworth"]) for n in range(60)] + [(1, n, ["stavmead"]) for n in range(12)] + [(1, n, ["stavmeab"]) for n in range(3)] + [(2, n, ["larkspur"]) for n in range(200)]
+    parsed = spark.createDataFrame([(i, city, str(n + 1), name, "") for i, (city, n, name) in enumerate(doors)], "id bigint, city bigint, number string, name array<string>, state string")
+    assert [(r.old, r.new, r.support) for r in mine_rewrites(parsed).collect()] == [("stavmeab", "stavmead", 3)]
+
+
 def test_same_address_empty(spark):
     v, f, ref, _ = address_tables(spark)
     assert same_address_pairs(v.limit(0), f.limit(0), ref).count() == 0

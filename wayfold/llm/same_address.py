@@ -25,8 +25,8 @@ from wayfold.runtime import bounded_rows, cut
 
 #: Likelihood ratio above which a rewrite is significant (0.1 % with one degree of freedom).
 SIGNIFICANT = 10.83
-#: Rounds of mining; each ends with the rewrites applied.  It ends sooner if none is new.
-ROUNDS = 8
+#: A slip of a word that doesn't lead its keys is met at so many times fewer doors.
+FEWER = 4
 #: A word met at so many different doors is an established one.
 ESTABLISHED = 6
 
@@ -78,10 +78,10 @@ def mine_rewrites(parsed: DataFrame) -> DataFrame:
     """New rewrites (``old``, ``new``, ``support``, ``ratio``) of words of street names.
 
     A key is the place, the number and the name with one word left out, the others
-    without their vowels.  Of the words
-    met under a key the most established one leads; each other one that resembles it
-    is a candidate.  Only distinct words with their counts are grouped, each is paired
-    with the leader alone.
+    without their vowels.  Each word is a candidate for every more established one of
+    its key that resembles it; such words share a pair of letters or all their letters,
+    so that only those are compared.  A word's rewrite must hold in half of the keys in
+    which it meets another word, if it leads them, or else a resembling one.
     """
     slot = F.explode(
         F.expr("transform(sequence(0, size(name) - 1), i -> struct(name[i] as word, concat_ws(' ', cast(size(name) as string), cast(i as string), array_join(transform(name, (x, j) -> if(i = j, '*', concat(substring(x, 1, 1), regexp_replace(substring(x, 2), '[aeiouy]', '')))), ' ')) as rest))")
@@ -90,18 +90,26 @@ def mine_rewrites(parsed: DataFrame) -> DataFrame:
     slots = slots.groupBy("place", "number", F.col("s.rest").alias("rest"), F.col("s.word").alias("word")).count()
     met = slots.groupBy("word").agg(F.count("*").alias("doors"))
     slots = slots.join(met, "word")
-    key = Window.partitionBy("place", "number", "rest")
-    led = slots.withColumns({"lead": F.max(F.struct("doors", "count", "word")).over(key), "others": F.count("*").over(key) - 1})
-    contested = led.where("others > 0").groupBy("word").agg(F.count("*").alias("contested"))
-    pairs = led.where("word <> lead.word").select("word", F.col("lead.word").alias("new"), F.col("doors"), F.col("lead.doors").alias("lead_doors"))
+    at = ["place", "number", "rest"]
+    key = Window.partitionBy(*at)
+    order = F.struct("doors", "count", "word")
+    led = slots.withColumns({"order": order, "lead": F.max(order).over(key), "others": F.count("*").over(key) - 1}).where("others > 0")
+    rivals = led.groupBy("word").agg(F.count("*").alias("rivals"))
+    grams = "concat(transform(sequence(1, length(word) + 1), i -> substring(concat('^', word, '$'), i, 2)), array(concat('~', array_join(array_sort(split(word, '')), ''))))"
+    one = led.select(*at, "word", "doors", "order", F.explode(F.expr(f"array_distinct({grams})")).alias("gram"))
+    other = one.select(*at, "gram", F.col("word").alias("new"), F.col("doors").alias("new_doors"), F.col("order").alias("new_order"))
+    pairs = one.join(other, [*at, "gram"]).where("order < new_order").select(*at, "word", "new", "doors", "new_doors").distinct()
+    pairs = pairs.join(led.where("order = lead").select(*at, F.col("word").alias("leader")), at)
     longest = F.greatest(F.length("word"), F.length("new"))
     near = F.levenshtein("word", "new") <= F.when(longest <= 3, 0).when(longest <= 5, 1).when(longest <= 8, 2).otherwise(3)
     bare = [F.regexp_replace(c, "[aeiouy]", "") for c in ("word", "new")]
     short = (F.length("word") >= 3) & (F.substring("word", 1, 1) == F.substring("new", 1, 1)) & ((bare[0] == bare[1]) | (F.col("word") == bare[1]) | F.col("new").startswith(F.col("word")))
     swapped = F.array_join(F.array_sort(F.split("word", "")), "") == F.array_join(F.array_sort(F.split("new", "")), "")
     total = float(slots.select("place", "number", "rest").distinct().count())
-    found = pairs.where(near | short | (swapped & (F.levenshtein("word", "new") <= 4))).groupBy("word", "new").agg(F.count("*").cast("double").alias("a"), F.max("doors").cast("double").alias("w"), F.max("lead_doors").cast("double").alias("l"))
-    found = found.join(contested, "word")
+    alike_ = pairs.where(near | short | (swapped & (F.levenshtein("word", "new") <= 4)))
+    contested = alike_.groupBy("word").agg(F.count_distinct(*at).alias("contested"))
+    found = alike_.groupBy("word", "new").agg(F.count("*").cast("double").alias("a"), F.count_if(F.col("new") == F.col("leader")).alias("led"), F.max("doors").cast("double").alias("w"), F.max("new_doors").cast("double").alias("l"))
+    found = found.join(contested, "word").join(rivals, "word")
     found = found.withColumn("n", F.lit(total))
     b, c = F.greatest(F.col("w") - F.col("a"), F.lit(0.0)), F.greatest(F.col("l") - F.col("a"), F.lit(0.0))
     d = F.greatest(F.col("n") - F.col("w") - F.col("l") + F.col("a"), F.lit(1.0))
@@ -109,8 +117,9 @@ def mine_rewrites(parsed: DataFrame) -> DataFrame:
     def g(o: Column, x: Column, y: Column) -> Column:
         return F.when(o > 0, o * F.log(o * F.col("n") / (x * y))).otherwise(0.0)
 
+    held = (F.col("led") * 2 >= F.col("rivals")) | (F.col("a") * 2 >= F.col("contested")) & (F.col("l") >= FEWER * F.col("w"))
     ratio = 2 * (g(F.col("a"), F.col("w"), F.col("l")) + g(b, F.col("w"), F.col("n") - F.col("l")) + g(c, F.col("n") - F.col("w"), F.col("l")) + g(d, F.col("n") - F.col("w"), F.col("n") - F.col("l")))
-    found = found.withColumn("ratio", ratio).where((F.col("ratio") > SIGNIFICANT) & (F.col("l") > F.col("w")) & (F.col("a") * 2 >= F.col("contested")))
+    found = found.withColumn("ratio", ratio).where((F.col("ratio") > SIGNIFICANT) & (F.col("l") > F.col("w")) & held)
     best = Window.partitionBy("word").orderBy(F.desc("a"), F.desc("l"), "new")
     return found.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("word").alias("old"), "new", F.col("a").cast("bigint").alias("support"), "ratio")
 
@@ -333,10 +342,8 @@ def _settled_boxes(boxes: DataFrame) -> DataFrame:
 def locations(records: DataFrame, reference: DataFrame) -> DataFrame:
     """(id, location) of every record that denotes a location."""
     parsed = cut(parse_records(records, reference))
-    for _ in range(ROUNDS):
-        new = cut(mine_rewrites(parsed))
-        if new.isEmpty():
-            break
+    # Every round does away with at least one word, so it ends.
+    while not (new := cut(mine_rewrites(parsed))).isEmpty():
         parsed = cut(rewrite(parsed, new))
     words = parsed.where("number <> ''").select(_place().alias("p"), "number", F.explode("name").alias("w")).distinct()
     words = cut(words.groupBy("w").count().where(F.col("count") >= ESTABLISHED).select("w"))
