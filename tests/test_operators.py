@@ -203,7 +203,7 @@ def test_records(spark):
     assert R.detect_mapping(["Addr1", "town", "st", "postcode", "x"]) == {"street": "Addr1", "city": "town", "state": "st", "zip": "postcode"}
     assert R.mapping_confidence({"city": "x"}) == 0.2125
     s = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.9), ("b", 1, 0.3)], "k string, o int, c double")
-    assert {r.k: r.confidence for r in R.folded_confidence(s, "k", "o", "c").collect()} == {"a": 0.75, "b": 0.3}
+    assert {r.k: r.confidence for r in R.folded_confidence(s, "k", "o", [], "c").collect()} == {"a": 0.75, "b": 0.3}
     i = R.indexed(spark.range(100).select(F.col("id")), ["id"]).collect()
     assert sorted((r.row_no, r.id) for r in i) == [(k + 1, k) for k in range(100)]
     assert R.indexed(spark.range(0).select("id"), ["id"]).count() == 0
@@ -221,3 +221,59 @@ def test_tools(people):
         r.execute("none", people)
     with pytest.raises(ValueError):
         r.register(Tool("ask", None))
+
+
+# Beyond the size at which an operator works in parts
+
+
+def test_adjacent_over_ranges(spark):
+    rows = [("hot", i * 3) for i in range(200)] + [("b", 7), (None, 5), (None, 8)]
+    got = {(r.f, r.i): (r.before, r.after) for r in D.adjacent(spark.createDataFrame(rows, "f string, i bigint"), "f", "i", width=50).collect()}
+    assert len(got) == 203 - 2 and all(got["hot", i * 3] == ((i - 1) * 3 if i else None, (i + 1) * 3 if i < 199 else None) for i in range(200))
+    assert got["b", 7] == (None, None)
+    assert D.adjacent(spark.createDataFrame([], "f string, i bigint"), "f", "i").count() == 0
+
+
+def test_stratified_is_one_definition(spark):
+    rows = [("hot" if i % 3 else None, i) for i in range(900)] + [("rare", 5000)]
+    df = spark.createDataFrame(rows, "s string, i bigint")
+    got = {(r.s, r.i) for r in D.stratified(df, "s", "i", 100).collect()}
+    want = {(s, i) for s in ("hot", None, "rare") for n, i in enumerate(sorted(i for x, i in rows if x == s)) if n % 9 == 0}
+    assert got == want and D.stratified(df.limit(0), "s", "i", 100).count() == 0
+    numbered = {(r.s, r.i): r.row_no for r in R.indexed(df, ["i"], by=["s"]).collect()}
+    assert numbered["hot", 1] == 1 and numbered[None, 897] == 300 and numbered["rare", 5000] == 1
+
+
+def test_folded_over_ranges(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("k", i, rng.random()) for i in range(60)] + [("one", 9, 0.4), ("k", 3, None)]
+    df = spark.createDataFrame(rows, "k string, i bigint, c double").withColumn("o", F.lit(1))
+    acc = None
+    for _, _, c in rows[:60]:
+        acc = c if acc is None else min(1.0, acc * 0.6 + c * 0.5)
+    for width in (7, 100_000):
+        got = {r.k: (r.n, r.confidence) for r in R.folded_confidence(df, "k", "i", ["o"], "c", width).collect()}
+        assert got == {"k": (60, round(acc, 6)), "one": (1, 0.4)}
+
+
+def test_ranked_bins(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(g, rng.choice([rng.randint(-50, 50), int(10 ** rng.uniform(0, 7))])) for g in ("a", None) for _ in range(800)] + [("one", 5), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, x bigint")
+    for by in (["g"], []):
+        for r in M.ranked(df, by, "x", [0, 50, 95, 100]).collect():
+            xs = sorted(x for g, x in rows if x is not None and (not by or g == r.g))
+            assert (r.n, r.p0, r.p50, r.p95, r.p100) == (len(xs), *(xs[min(len(xs) * p // 100, len(xs) - 1)] for p in (0, 50, 95, 100)))
+    assert M.ranked(df.limit(0), ["g"], "x", [50]).count() == 0
+
+
+def test_related_by_tags(spark):
+    rows = [(i, "c", ["a", "b"] if i % 2 else ["a"]) for i in range(40)] + [(100, "c", ["b", "a", "z"]), (101, "d", ["a"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, category string, tags array<string>")
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in D.related_by_tags(df, F.col("doc_id").isin(0, 1, 100, 101), 3).collect()}
+    assert [got[0, k] for k in (1, 2, 3)] == [(2, 1.0), (4, 1.0), (6, 1.0)] and [got[1, k] for k in (1, 2, 3)] == [(3, 1.0), (5, 1.0), (7, 1.0)]
+    assert [got[100, k][0] for k in (1, 2, 3)] == [1, 3, 5] and (101, 1) not in got

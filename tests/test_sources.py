@@ -80,12 +80,36 @@ def test_stream_goes_on_after_its_checkpoint(spark, tmp_path):
 
 
 def test_upserts_are_idempotent(spark, tmp_path):
-    write = T.upsert_into(str(tmp_path / "t"), "k", "o")
-    a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "k int, o int, v string")
-    for no, b in enumerate([a, spark.createDataFrame([(2, 5, "w")], "k int, o int, v string")]):
+    target = str(tmp_path / "t")
+    write = T.upsert_into(target, "k", ["o", "v"])
+    a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z"), (3, 7, "a"), (3, 7, "b")], "k int, o int, v string")
+    assert T.upserted(spark, target, a.schema).count() == 0
+    for no, b in enumerate([a, spark.createDataFrame([(2, 5, "w"), (3, 6, "late")], "k int, o int, v string")]):
         write(b, no)
-        write(b, no) if no else None
-    assert sorted((r.k, r.v) for r in spark.read.parquet(T.current(spark, str(tmp_path / "t"))).collect()) == [(1, "y"), (2, "w")]
+        write(b, no)
+    assert sorted((r.k, r.v) for r in T.upserted(spark, target, a.schema).collect()) == [(1, "y"), (2, "w"), (3, "b")]
+    newest = T.versions(spark, target)
+    assert {p.split("/")[-2] for p in newest.values()} == {"v=0", "v=1"}  # buckets that a batch doesn't touch stay
+
+
+def test_keyed_state_over_batches(spark, tmp_path):
+    import datetime as dt
+
+    def land(name, rows):
+        spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, s), k, i, x) for s, k, i, x in rows], "ts timestamp, k string, trace_id string, x string").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+
+    land("in", [(0, "a", "1", "one"), (10, "a", "2", None), (20, "a", "3", "three"), (5, "b", "4", "four"), (5, None, "5", "five")])
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    run = lambda: T.run_once(T.limited(T.files(spark, str(tmp_path / "in")), "k", "ts", 2, 30), checkpoint=state, target=out)
+    assert {(r.k, r.id): r.allowed for r in run().collect()} == {("a", "1"): True, ("a", "2"): True, ("a", "3"): False, ("b", "4"): True}
+    held = lambda: {r.k: list(r.held) for r in T.run_once(T.session_memory(T.files(spark, str(tmp_path / "in")), "k", "ts", "x", "trace_id", keep=2), "update").collect()}
+    assert held() == {"a": ["one", "three"], "b": ["four"]}
+    land("more", [(25, "a", "6", "six"), (40, "a", "7", "seven")])
+    for p in (tmp_path / "more").glob("part-*.parquet"):
+        p.rename(tmp_path / "in" / f"more-{p.name}")
+    got = {(r.k, r.id): r.allowed for r in run().collect()}
+    assert len(got) == 6 and got["a", "6"] is False and got["a", "7"] is True  # the window began in the batch before
+    assert held()["a"] == ["six", "seven"]
 
 
 def test_windows_and_late_rows(spark, tmp_path):

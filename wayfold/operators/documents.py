@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import content_hash, overlap
+from wayfold.operators.records import indexed
 from wayfold.runtime import cut
 
 
@@ -77,14 +78,54 @@ def merge_copies(docs: DataFrame) -> DataFrame:
 def stratified(docs: DataFrame, by: str, key: str, size: int) -> DataFrame:
     """A systematic sample in proportion to the strata (a feature, not a shortcut).
 
-    Rows are numbered within parts of a stratum by a hash of the key, so that a large
-    stratum isn't one task; every step-th number of each part is taken.
+    Rows of a stratum are numbered in the order of the key, and every step-th is taken.
+    Numbers are counted within ranges of stratum and key, then offset, so that a large
+    stratum isn't one task.  A null stratum is one; an empty table gives an empty sample.
     """
-    n = docs.count()
-    step = max(1, n // max(1, size))
-    part = F.pmod(F.xxhash64(key), F.lit(max(1, n // 1_000_000 + 1)))
-    r = F.row_number().over(Window.partitionBy(by, part).orderBy(key))
-    return docs.withColumn("_r", r).where((F.col("_r") - 1) % step == 0).drop("_r")
+    numbered = indexed(docs, [key], by=[by])
+    n = numbered.agg(F.count("*")).scalar()
+    step = F.greatest(F.lit(1), F.floor(n / max(1, size)))
+    return numbered.where((F.col("row_no") - 1) % step == 0).drop("row_no")
+
+
+def adjacent(rows: DataFrame, by: str, order: str, width: int = 100_000) -> DataFrame:
+    """``by``, ``order`` and the values of ``order`` ``before`` and ``after`` in each group.
+
+    ``order`` is an integer, unique in a group.  A group is worked on in ranges of
+    ``width``, so that a large one isn't one task; what a range has to know of its
+    neighbours, their edges, comes from one row a range.
+    """
+    rows = rows.select(by, order, F.floor(F.col(order) / width).alias("_part"))
+    parts = Window.partitionBy(by).orderBy("_part")
+    edges = rows.groupBy(by, "_part").agg(F.min(order).alias("a"), F.max(order).alias("z"))
+    edges = edges.select(by, "_part", F.lag("z").over(parts).alias("_before"), F.lead("a").over(parts).alias("_after"))
+    w = Window.partitionBy(by, "_part").orderBy(order)
+    near = rows.withColumns({"before": F.lag(order).over(w), "after": F.lead(order).over(w)})
+    return near.join(edges, [by, "_part"]).select(by, order, F.coalesce("before", "_before").alias("before"), F.coalesce("after", "_after").alias("after"))
+
+
+def related_by_tags(docs: DataFrame, asked: Column, limit: int) -> DataFrame:
+    """The ``limit`` documents of its category that share most tags (Jaccard) with each document asked for.
+
+    ``docs`` has doc_id, category and tags, none null.  Documents with equal tags are one
+    class; classes are compared, not documents, and of a class only its least ids can be
+    among the best, one more than ``limit``, as a document isn't related to itself.
+    """
+    t = docs.select("doc_id", "category", F.array_sort(F.array_distinct("tags")).alias("tags"), asked.alias("asked"))
+    ids = F.expr(f"slice(array_sort(collect_list(doc_id)), 1, {limit + 1})")
+    rank = F.row_number().over(Window.partitionBy("category", "tags").orderBy("doc_id"))
+    classes = t.withColumn("r", rank).where(F.col("r") <= limit + 1).groupBy("category", "tags").agg(ids.alias("ids"))
+    asking = t.where("asked").select("category", "tags").distinct()
+    a = asking.select("category", F.col("tags").alias("asked_tags"), F.explode("tags").alias("tag"))
+    b = classes.select("category", F.col("tags").alias("other_tags"), "ids", F.explode("tags").alias("tag"))
+    met = a.join(b, ["category", "tag"]).groupBy("category", "asked_tags", "other_tags").agg(F.count("*").alias("s"), F.any_value("ids").alias("ids"))
+    score = F.round(F.col("s") / (F.size("asked_tags") + F.size("other_tags") - F.col("s")), 6)
+    met = met.select("category", F.col("asked_tags").alias("tags"), score.alias("score"), F.explode("ids").alias("doc_id"))
+    w = Window.partitionBy("category", "tags").orderBy(F.desc("score"), "doc_id")
+    best = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit + 1)
+    found = t.where("asked").select(F.col("doc_id").alias("query_id"), "category", "tags").join(best, ["category", "tags"]).where("query_id <> doc_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "doc_id", "score", "rank")
 
 
 def neighbours(chunks: DataFrame, doc: str, order: str, text: str, most: int = 100) -> DataFrame:

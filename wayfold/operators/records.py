@@ -141,14 +141,30 @@ def gates(parsed: DataFrame, order: str) -> DataFrame:
     return k.withColumn("gates", g).withColumn("approved", F.forall("gates", lambda x: x["passed"])).drop("_k", "_first")
 
 
-def folded_confidence(suggestions: DataFrame, key: str, order: str, confidence: str) -> DataFrame:
-    """Confidences folded in order of arrival: min(1, 0.6 * so far + 0.5 * new), the first as it is."""
-    arrived = F.sort_array(F.collect_list(F.struct(order, confidence)))
-    s = suggestions.groupBy(key).agg(arrived.alias("a"))
-    first = F.get("a", F.lit(0))[confidence].cast("double")
-    rest = F.slice("a", 2, 1_000_000)
-    fold = F.aggregate(rest, first, lambda acc, x: F.least(F.lit(1.0), acc * 0.6 + x[confidence] * 0.5))
-    return s.select(key, F.size("a").alias("n"), F.round(fold, 6).alias("confidence"))
+def folded_confidence(suggestions: DataFrame, key: str, number: str, order: list[str], confidence: str, width: int = 100_000) -> DataFrame:
+    """Confidences folded in order of arrival: min(1, 0.6 * so far + 0.5 * new), the first as it is.
+
+    A step is a clamped line, x -> min(top, slope * x + base), and so is any row of
+    steps.  A key's suggestions are folded in ranges of ``width`` of ``number``, the first
+    of the columns they arrive by, each to one line, then the lines in turn, so that a
+    key with many isn't one list.  Rows without number or confidence don't count.
+    """
+    s = suggestions.where(F.col(number).isNotNull() & F.col(confidence).isNotNull())
+    s = s.select(key, F.floor(F.col(number) / width).alias("_part"), F.struct(number, *order, F.col(confidence).cast("double").alias("_c")).alias("_x"))
+    parts = s.groupBy(key, "_part").agg(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["_c"]).alias("_a"))
+    line = lambda slope, base, top: F.struct(slope.alias("slope"), base.alias("base"), top.alias("top"))
+
+    def lines(a: Column) -> Column:
+        step = lambda f, x: line(f["slope"] * 0.6, f["base"] * 0.6 + x * 0.5, F.least(F.lit(1.0), f["top"] * 0.6 + x * 0.5))
+        return F.aggregate(a, line(F.lit(1.0), F.lit(0.0), F.lit(float("inf"))), step)
+
+    first = F.get("_a", F.lit(0))
+    parts = parts.select(key, "_part", F.size("_a").alias("n"), first.alias("first"), lines(F.slice("_a", 2, F.size("_a"))).alias("rest"), lines(F.col("_a")).alias("all"))
+    k = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_part", "first", "rest", "all"))).alias("p"), F.sum("n").cast("int").alias("n"))
+    apply_ = lambda f, x: F.least(f["top"], f["slope"] * x + f["base"])
+    start = F.get("p", F.lit(0))
+    fold = F.aggregate(F.slice("p", 2, F.size("p")), apply_(start["rest"], start["first"]), lambda acc, p: apply_(p["all"], acc))
+    return k.select(key, "n", F.round(fold, 6).alias("confidence"))
 
 
 def latest_unexpired(cache: DataFrame, key: str, ts: str, now: Column, seconds: int) -> DataFrame:
@@ -159,11 +175,22 @@ def latest_unexpired(cache: DataFrame, key: str, ts: str, now: Column, seconds:
     return g.select(key, "r.*")
 
 
-def indexed(df: DataFrame, order: list[str]) -> DataFrame:
-    """Row numbers from 1 in an order, without one task for all: numbers within ranges, then offsets."""
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    parts = cut(parts)
-    n = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    start = n.withColumn("_s", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # one row a partition
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return parts.join(start, "_p").withColumn("row_no", within + F.coalesce("_s", F.lit(0))).drop("_p", "_n", "_s")
+def indexed(df: DataFrame, order: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Row numbers from 1 in an order, for each value of ``by``, without one task for all.
+
+    Rows are numbered within ranges, which are then offset; a null in ``by`` is a value.
+    """
+    parts = cut(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order))
+    if by:
+        key = F.xxhash64(F.struct(*by)), F.to_json(F.struct(*by))
+        parts = parts.withColumns({"_h": key[0], "_j": key[1]})
+        n = parts.groupBy("_h", "_j", "_p").agg(F.count("*").alias("_n"))
+        w = Window.partitionBy("_h", "_j")
+        on = ["_h", "_j", "_p"]
+    else:
+        n = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+        w = Window.partitionBy()  # one row a range
+        on = ["_p"]
+    start = n.withColumn("_s", F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
+    return parts.join(start, on).withColumn("row_no", within + F.coalesce("_s", F.lit(0))).drop("_p", "_n", "_s", "_h", "_j")

@@ -27,14 +27,30 @@ def series(events: DataFrame, ts: str, value: Column, seconds: int, how: str = "
 def ranked(events: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
     """Values at index floor(n * p / 100), at most the last, of the sorted values of each group.
 
-    A value and its count make a row before anything is ordered, so a group costs
-    as many rows as it has distinct values.
+    A value and its count make a row before anything is ordered.  Counts of bins, on a
+    scale on which a group has some ten thousand at most, tell the bin of each wanted
+    index; only the values of these bins are ordered, so that a large group, or all rows
+    together, isn't one task.  Null keys form a group; an empty table has none.
     """
-    counts = events.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    counts = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
-    at = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col(value))).alias(f"p{p}") for p in percents]
-    return counts.groupBy(*by).agg(F.max("n").alias("n"), *at)
+    keys, x = [f"_k{i}" for i in range(len(by))], F.col("_x")
+    rows = events.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("_x"))
+    scale = F.signum(x) * F.floor(F.log2(1 + F.abs(x)) * 256)
+    counts = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c")).withColumn("_bin", scale.cast("int"))
+    w = Window.partitionBy(*keys)
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
+    bins = bins.withColumns({"_upto": F.sum("_c").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_c").over(w)})
+    bins = bins.withColumn("_before", F.col("_upto") - F.col("_c"))
+    goals = F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1).alias("k")) for p in percents])
+    goals = F.filter(goals, lambda g: (g["k"] < F.col("_upto")) & (g["k"] >= F.col("_before")))
+    goals = bins.withColumn("_goals", goals).where("size(_goals) > 0").select(*[F.col(k).alias(f"g{k}") for k in keys], F.col("_bin").alias("_at"), "n", "_before", "_goals")
+    same = F.col("_bin") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"g{k}"))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    inside = counts.join(goals, same).select(*keys, "n", "_x", upto.alias("_upto"), "_goals")
+    inside = inside.select(*keys, "n", "_x", "_upto", F.explode("_goals").alias("_g")).where("_upto > _g.k")
+    at = [F.min(F.when(F.col("_g.p") == p, F.col("_x"))).alias(f"p{p}") for p in percents]
+    return inside.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, by)]).agg(F.max("n").alias("n"), *at)
 
 
 def latest_per(events: DataFrame, by: list[str], order: list[str], keep: list[str]) -> DataFrame:

@@ -143,9 +143,10 @@ def highlight_terms(t):
     return t.where(F.col("text").rlike(r"(?i)\b(clerk|register)\b")).select("doc_id", X.highlight(F.col("text"), ["clerk", "register"]).alias("marked"))
 
 
-@query("documents", r"select doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 500), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t\r\n]+', ' ', 'g')) as clean from documents where text is not null")
+@query("test_addresses_fuzzy", r"select id, trim(regexp_replace(regexp_replace(substr(input, 1, 500), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t\r\n]+', ' ', 'g')) as clean from test_addresses_fuzzy where input is not null")
 def sanitize_text(t):
-    return t.where("text is not null").select("doc_id", X.sanitize(F.col("text")).alias("clean"))
+    """Address inputs cut to the 500 characters an address may have, and cleaned."""
+    return t.where("input is not null").select("id", X.sanitize(F.col("input")).alias("clean"))
 
 
 _SDX = "regexp_replace(upper({0}), '[^A-Z]', '', 'g')"
@@ -196,11 +197,10 @@ def spell_check(t):
     return near.groupBy("word").agg(F.max_by("other", F.struct("nb", "other")).alias("suggestion"))
 
 
-@query("documents", "select doc_id, lag(doc_id) over (partition by filename order by doc_id) as before, lead(doc_id) over (partition by filename order by doc_id) as after from documents where filename is not null and filename in (select filename from documents group by 1 having count(*) < 50)")
+@query("documents", "select doc_id, lag(doc_id) over (partition by filename order by doc_id) as before, lead(doc_id) over (partition by filename order by doc_id) as after from documents where filename is not null")
 def chunk_context_lag(t):
-    small = t.groupBy("filename").count().where("count < 50").select("filename")
-    w = Window.partitionBy("filename").orderBy("doc_id")
-    return t.join(small, "filename", "left_semi").select("doc_id", F.lag("doc_id").over(w).alias("before"), F.lead("doc_id").over(w).alias("after"))
+    """The ids before and after in each file; a large file is worked on in ranges of ids."""
+    return D.adjacent(t.where("filename is not null"), "filename", "doc_id").select("doc_id", "before", "after")
 
 
 @query("documents", "select doc_id, category, n_chars, (select count(*) from documents where category = 'general' and n_chars between 200 and 900)::bigint as total from documents where category = 'general' and n_chars between 200 and 900 order by n_chars desc, doc_id limit 50 offset 20")
@@ -247,18 +247,12 @@ def index_health(t):
 
 
 def _related(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one file that share most tags with a document; the best three for every twentieth id.
+    """Documents of one category that share most tags with a document; the best three for every twentieth id.
 
     Every row whose id is divisible by 20 is asked for, against all rows of its category.
     """
-    t = table(spark, d, "documents").where("size(tags) > 0").select("doc_id", "category", "tags")
-    t = t.where("category is not null")
-    tags = t.select("doc_id", "category", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
-    q = tags.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "category", F.col("n").alias("nq"), "tag")
-    shared = q.join(tags, ["category", "tag"]).where("query_id <> doc_id").groupBy("query_id", "doc_id", "nq", "n").agg(F.count("*").alias("s"))
-    score = F.round(F.col("s") / (F.col("nq") + F.col("n") - F.col("s")), 6)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return shared.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query_id", "doc_id", "score", "rank")
+    t = table(spark, d, "documents").where("size(tags) > 0 and category is not null").select("doc_id", "category", "tags")
+    return D.related_by_tags(t, F.col("doc_id") % 20 == 0, 3)
 
 
 QUERIES["related_documents"] = _related

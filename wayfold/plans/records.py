@@ -170,12 +170,12 @@ def ingest_summary(spark, d):
 @query(
     """with o as (select input_address, confidence, row_number() over (partition by input_address order by audit_id, ts, received_at) r, count(*) over (partition by input_address) n from (select distinct input_address, audit_id, ts, received_at, confidence from validation_audit where input_address is not null and confidence is not null)),
 a as (select input_address, list(confidence::double order by r) l from o group by 1)
-select input_address, len(l)::int as n, round(list_reduce(l, lambda acc, x: least(1.0::double, acc * 0.6 + x * 0.5)), 6) as confidence from a where len(l) > 1"""
+select input_address, len(l)::int as n, round(list_reduce(l, lambda acc, x: least(1.0::double, acc * 0.6 + x * 0.5)), 6) as confidence from a"""
 )
 def fold_confidence(spark, d):
     a = table(spark, d, "validation_audit").where("input_address is not null and confidence is not null")
-    a = a.select("input_address", "audit_id", "ts", "received_at", "confidence").distinct().withColumn("order", F.struct("audit_id", "ts", "received_at"))
-    return R.folded_confidence(a, "input_address", "order", "confidence").where("n > 1")
+    a = a.select("input_address", "audit_id", "ts", "received_at", "confidence").distinct()
+    return R.folded_confidence(a, "input_address", "audit_id", ["ts", "received_at"], "confidence")
 
 
 @query(

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.runtime import ensure_checkpoint_dir
+from wayfold.runtime import scratch
 from wayfold.streaming import streams as S
 
 QUERIES: dict = {}
@@ -44,17 +42,28 @@ def stream_dedupe(spark, d):
     return out.agg(F.count("*").alias("events"), F.count_distinct("trace_id").alias("traces"))
 
 
-@query("select session_id, count(*)::bigint as requests from query_events where session_id is not null group by 1 having count(*) > 1")
+@query(
+    """with recursive e as (select session_id, epoch_us(ts) as t from query_events where session_id is not null and ts is not null),
+n as (select session_id, t, count(*) as c, sum(count(*)) over (partition by session_id order by t) as upto from e group by 1, 2),
+nxt as (select a.session_id, a.t, b.t as nt, coalesce(b.upto - b.c, max(a.upto) over (partition by a.session_id)) - (a.upto - a.c) as requests
+  from n a asof left join n b on a.session_id = b.session_id and a.t + 60000000 <= b.t),
+w as (select session_id, min(t) as t from n group by 1 union all select w.session_id, x.nt from w join nxt x on x.session_id = w.session_id and x.t = w.t where x.nt is not null)
+select w.session_id, sum(requests)::bigint as requests, sum(least(requests, 5))::bigint as allowed from w join nxt x on x.session_id = w.session_id and x.t = w.t group by 1"""
+)
 def stream_rate_limit(spark, d):
-    """Each request allowed or not by keyed state."""
-    out = S.run_once(S.limited(_events(spark, d), "session_id", "ts", 60, 60))
-    return out.groupBy("session_id").agg(F.count("allowed").alias("requests")).where("requests > 1")
+    """Each request allowed or not by keyed state: five in a minute from the first one."""
+    out = S.run_once(S.limited(_events(spark, d), "session_id", "ts", 5, 60))
+    return out.groupBy("session_id").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))
 
 
-@query("select session_id, least(count(query_text), 20)::bigint as held from query_events where session_id is not null group by 1")
+@query(
+    """select session_id, coalesce(string_agg(query_text, ' | ' order by ts, trace_id) filter (r <= 20), '') as held from (
+select *, row_number() over (partition by session_id, query_text is null order by ts desc, trace_id desc) + case when query_text is null then 99 else 0 end as r from query_events where session_id is not null and ts is not null) group by 1"""
+)
 def stream_session_memory(spark, d):
-    out = S.run_once(S.session_memory(_events(spark, d), "session_id", "ts", "query_text"), "update")
-    return out.groupBy("session_id").agg(F.max("held").alias("held"))
+    """The last twenty messages of every session."""
+    out = S.run_once(S.session_memory(_events(spark, d), "session_id", "ts", "query_text", "trace_id"), "update")
+    return out.select("session_id", F.array_join("held", " | ").alias("held"))
 
 
 @query(
@@ -67,13 +76,12 @@ def stream_sessions(spark, d):
     return out.groupBy("session_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-@query("select audit_id, result_status from (select *, row_number() over (partition by audit_id order by received_at desc) r from validation_audit where received_at is not null) where r = 1 and audit_id in (select audit_id from validation_audit group by 1 having count(distinct result_status) = 1)")
+@query("select input_address, result_status, audit_id from (select *, row_number() over (partition by input_address order by received_at desc, audit_id desc, result_status desc nulls last) r from validation_audit where received_at is not null and input_address is not null) where r = 1")
 def stream_upsert(spark, d):
-    """Micro-batches upserted into a table by key."""
-    base = f"{ensure_checkpoint_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    stream = S.files(spark, f"{d}/validation_audit.parquet").select("audit_id", "result_status", "received_at")
-    sink = S.upsert_into(f"{base}/table", "audit_id", "received_at")
+    """Micro-batches upserted into a table: of the entries of an address the last received stays."""
+    base = scratch(spark, "upsert")
+    stream = S.files(spark, f"{d}/validation_audit.parquet").where("received_at is not null and input_address is not null")
+    stream = stream.select("input_address", "received_at", "audit_id", "result_status")
+    sink = S.upsert_into(f"{base}/table", "input_address", ["received_at", "audit_id", "result_status"])
     stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    table = spark.read.parquet(S.current(spark, f"{base}/table"))
-    plain = spark.read.parquet(f"{d}/validation_audit.parquet").groupBy("audit_id").agg(F.count_distinct("result_status").alias("c")).where("c = 1").select("audit_id")
-    return table.join(plain, "audit_id", "left_semi").select("audit_id", "result_status")
+    return S.upserted(spark, f"{base}/table", stream.schema).select("input_address", "result_status", "audit_id")

@@ -115,9 +115,9 @@ def unique_sessions_sketch(e):
     return s.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("estimate"), F.count("*").alias("days")).withColumn("exact", exact.scalar())
 
 
-@query("query_events", "select lower(trim(query_text)) as query, count(*)::bigint as n from query_events where query_text is not null group by 1 having count(*) >= 20")
+@query("query_events", "select lower(trim(query_text)) as query, count(*)::bigint as n from query_events where query_text is not null group by 1")
 def query_frequency(e):
-    return e.where("query_text is not null").groupBy(F.lower(F.trim("query_text")).alias("query")).agg(F.count("*").alias("n")).where("n >= 20")
+    return e.where("query_text is not null").groupBy(F.lower(F.trim("query_text")).alias("query")).agg(F.count("*").alias("n"))
 
 
 @query("query_events")
@@ -129,9 +129,9 @@ def query_frequency_sketch(e):
     return top.select(F.col("t.item").alias("query"), F.col("t.count").alias("n"))
 
 
-@query("query_events", f"select session_id, {_B.format(60)}, count(*)::bigint as requests, greatest(count(*) - 5, 0)::bigint as rejected from query_events where session_id is not null group by 1, 2 having count(*) > 1")
+@query("query_events", f"select session_id, {_B.format(60)}, count(*)::bigint as requests, greatest(count(*) - 5, 0)::bigint as rejected from query_events where session_id is not null group by 1, 2")
 def rate_limit_window(e):
-    return M.fixed_windows(e.where("session_id is not null"), "session_id", "ts", 60, 5).where("requests > 1").select("session_id", text("bucket"), "requests", "rejected")
+    return M.fixed_windows(e.where("session_id is not null"), "session_id", "ts", 60, 5).select("session_id", text("bucket"), "requests", "rejected")
 
 
 @query("query_events", "select session_id, trace_id, query_text from (select *, row_number() over (partition by session_id order by ts desc, trace_id desc) r from query_events where session_id is not null) where r = 1")
@@ -167,7 +167,7 @@ def session_windows(e):
     return M.sessions(e, "session_id", "ts", 1800).select("session_id", "session_no", "events")
 
 
-@query("query_events", "select session_id, count(*)::bigint as queries, round(avg(cache_hit::int), 6)::double as hit_rate, sum(latency_ms) filter (latency_ms >= 0)::bigint as latency, count(distinct agent_chain[1])::bigint as entry_agents from query_events where session_id is not null group by 1 having count(*) > 1")
+@query("query_events", "select session_id, count(*)::bigint as queries, round(avg(cache_hit::int), 6)::double as hit_rate, sum(latency_ms) filter (latency_ms >= 0)::bigint as latency, count(distinct agent_chain[1])::bigint as entry_agents from query_events where session_id is not null group by 1")
 def session_analytics(e):
     return (
         e.where("session_id is not null")
@@ -178,7 +178,6 @@ def session_analytics(e):
             F.sum(F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))).alias("latency"),
             F.count_distinct(F.try_element_at("agent_chain", F.lit(1))).alias("entry_agents"),
         )
-        .where("queries > 1")
     )
 
 

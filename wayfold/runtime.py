@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -19,6 +20,7 @@ def session(app: str = "wayfold", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     for k, v in conf.items():
@@ -63,7 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is honoured as it is.  Only where neither it nor a
     checkpoint folder is set, and only in local mode, a temporary folder of this
     process is used; a cluster without a shared folder is an error, since a
-    machine-local folder would not survive the loss of an executor.
+    machine-local folder would not survive the loss of an executor.  What the
+    application has put there is deleted when it ends.
     """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
@@ -72,6 +75,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         sc.setCheckpointDir(named)
+        atexit.register(_delete, sc._jvm, sc.getCheckpointDir())
         return named
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -81,6 +85,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return own.as_uri()
 
 
+def _delete(jvm, folder: str) -> None:
+    """Delete a folder of a shared file system; one that is gone, or a JVM that is, is no error."""
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for tables a query writes and reads; deleted when the application ends."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -7,7 +7,6 @@ what a run has done is in its checkpoint, so a restart goes on where it stopped.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wayfold.runtime import ensure_checkpoint_dir
+from wayfold.runtime import scratch
 
 
 def files(spark: SparkSession, path: str, schema=None, fmt: str = "parquet", per_trigger: int | None = None, done: str | None = None) -> DataFrame:
@@ -40,7 +39,7 @@ def run_once(stream: DataFrame, mode: str = "append", checkpoint: str | None = N
     replaces itself; in complete mode the last one counts.
     """
     spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     target, checkpoint = target or f"{base}/out", checkpoint or f"{base}/state"
 
     def write(batch: DataFrame, no: int) -> None:
@@ -71,16 +70,21 @@ def session_counts(events: DataFrame, key: str, ts: str, gap: str, late: str) ->
     return e.groupBy(F.session_window("_ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("started"), "n")
 
 
-def limited(events: DataFrame, key: str, ts: str, most: int, seconds: int) -> DataFrame:
+def limited(events: DataFrame, key: str, ts: str, most: int, seconds: int, late: str = "10 days") -> DataFrame:
     """Requests allowed per key: a window starts at its first request and lasts ``seconds``.
 
-    Rows of a key are taken in order within a micro-batch.  The state of a key is the
-    start of its window and the count in it.
+    Rows of a key are taken in order within a micro-batch, which ``maxFilesPerTrigger``
+    bounds; only their times and ids are held.  The state of a key is the start of its
+    window and the count in it; it expires when the watermark, ``late`` behind the
+    newest event, passes the end of the window.  Rows without key or time are left out.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, n = state.get if state.exists else (-1, 0)
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
+        rows = pd.concat([b[["t", "id"]] for b in batches]).sort_values(["t", "id"])
         allowed = []
         for t in rows["t"]:
             if start < 0 or t - start >= seconds * 1_000_000:
@@ -88,58 +92,81 @@ def limited(events: DataFrame, key: str, ts: str, most: int, seconds: int) -> Da
             n += 1
             allowed.append(n <= most)
         state.update((start, n))
+        state.setTimeoutTimestamp(max(start // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"k": [k[0]] * len(rows), "id": rows["id"].to_numpy(), "allowed": allowed})
 
-    e = events.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col("trace_id").alias("id"))
-    out = e.groupBy("k").applyInPandasWithState(step, "k string, id string, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+    e = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    e = e.select(F.col(key).cast("string").alias("k"), "_ts", F.unix_micros("_ts").alias("t"), F.col("trace_id").alias("id"))
+    out = e.groupBy("k").applyInPandasWithState(step, "k string, id string, allowed boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnRenamed("k", key)
 
 
-def session_memory(messages: DataFrame, key: str, ts: str, text: str, keep: int = 20) -> DataFrame:
-    """The last messages of each session, kept as state and given out with every batch."""
+def session_memory(messages: DataFrame, key: str, ts: str, text: str, tie: str, keep: int = 20, idle_seconds: int = 3600, late: str = "10 days") -> DataFrame:
+    """The last messages of each session, kept as state and given out with every batch.
+
+    Messages are taken in the order of ``ts`` and ``tie``; those without text don't
+    count.  The memory expires once the watermark is ``idle_seconds`` past the last
+    message.  Of a batch no more than the last ``keep`` messages of a session are held.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("t")
-        held = (held + [x for x in rows["x"] if x is not None])[-keep:]
-        state.update((held,))
-        yield pd.DataFrame({"k": [k[0]], "held": [len(held)], "last": [held[-1] if held else None]})
-
-    e = messages.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(text).alias("x"))
-    out = e.groupBy("k").applyInPandasWithState(step, "k string, held long, last string", "held array<string>", "update", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(zip(*state.get)) if state.exists else []
+        for b in batches:
+            b = b[b["x"].notna()].sort_values(["t", "i"]).tail(keep)
+            held = sorted([*held, *zip(b["t"].tolist(), b["i"].tolist(), b["x"].tolist())], key=lambda m: m[:2])[-keep:]
+        if not held:
+            yield pd.DataFrame({"k": [k[0]], "held": [[]]})
+            return
+        state.update(tuple(map(list, zip(*held))))
+        state.setTimeoutTimestamp(max(held[-1][0] // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"k": [k[0]], "held": [[x for _, _, x in held]]})
+
+    e = messages.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    e = e.select(F.col(key).cast("string").alias("k"), "_ts", F.unix_micros("_ts").alias("t"), F.coalesce(F.col(tie).cast("string"), F.lit("")).alias("i"), F.col(text).alias("x"))
+    out = e.groupBy("k").applyInPandasWithState(step, "k string, held array<string>", "t array<long>, i array<string>, x array<string>", "update", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnRenamed("k", key)
 
 
-def upsert_into(target: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: the latest row per key replaces what the table has.
+def upsert_into(target: str, key: str, order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: the latest row per key, by ``order``, replaces what the table has.
 
-    The new table is written beside the old one and then takes its place; a batch
-    that is done again gives the same table.
+    The table is kept in buckets of the key's hash; a batch writes new versions of the
+    buckets it touches, beside the old ones, and leaves the others alone.  A batch that
+    is done again gives the same table.  A later batch wins only with a later row.
     """
 
     def write(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
+        at = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_b")
+        new = batch.select("*", at)
+        touched = [r[0] for r in new.select("_b").distinct().collect()]  # at most one for each bucket
+        old = [p for b, p in versions(spark, target, before=no).items() if b in touched]
+        both = new
+        if old:
+            both = spark.read.schema(batch.schema).parquet(*old).select("*", at).unionByName(new)
         rest = [c for c in batch.columns if c != key]
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest))).alias("r")).select(key, "r.*")
-        try:
-            now = spark.read.parquet(current(spark, target))
-            last = now.join(last.select(key), key, "left_anti").unionByName(last)
-        except FileNotFoundError:
-            pass
-        last.write.mode("overwrite").parquet(f"{target}/v={no}")
+        last = both.groupBy("_b", key).agg(F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest))).alias("r")).select("_b", key, "r.*")
+        last.repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(f"{target}/v={no}")
 
     return write
 
 
-def current(spark: SparkSession, target: str) -> str:
-    """The newest version of a table written by ``upsert_into``."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        made = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = sorted(int(m[2:]) for m in made if m.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{m}/_SUCCESS")))
-        if done:
-            return f"{target}/v={done[-1]}"
-    raise FileNotFoundError(target)
+def versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
+    """The folder of the newest version of every bucket of a table written by ``upsert_into``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda folder, mark: [n for n in (x.getPath().getName() for x in fs.listStatus(path(folder))) if n.startswith(mark)]
+    found: dict[int, str] = {}
+    for v in sorted(int(n[2:]) for n in names(target, "v=")) if fs.exists(path(target)) else ():
+        if (before is None or v < before) and fs.exists(path(f"{target}/v={v}/_SUCCESS")):
+            found |= {int(n[3:]): f"{target}/v={v}/{n}" for n in names(f"{target}/v={v}", "_b=")}
+    return found
+
 
+def upserted(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The table written by ``upsert_into``; of no batches an empty one."""
+    folders = list(versions(spark, target).values())
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
