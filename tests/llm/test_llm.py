@@ -20,7 +20,7 @@ from wayfold.llm.address_parts import Parser
 from wayfold.llm.bpe import DEFAULT_RANKS, PATTERN, Encoder, PairTable, count_tokens, encode_ids
 from wayfold.llm.mixing import copies, mix, repetition_rates
 from wayfold.llm.places import Gazetteer, clean_zip, edits, map_places
-from wayfold.llm.quality import FUNCTIONS, TYPES, describe, learn, statistics, text_types
+from wayfold.llm.quality import FUNCTIONS, TYPES, describe, learn, statistics, text_types, voted_types
 from wayfold.llm.same_address import mine_rewrites, same_address_pairs, settle
 from wayfold.llm.splitting import SPACE, split_documents, split_text
 
@@ -354,7 +354,8 @@ PROSE = "We asked the clerk to look at the letter again and it was not in the bo
 KINDS = [
     (PROSE, "prose"), (PROSE.upper(), "prose"), (PROSE.replace(".", "").replace(",", "").lower(), "prose"), ("\n".join(f"A: {s}." for s in PROSE.split(".") if s) * 3, "prose"),
     ("La carta se quedó en la casa de los vecinos y no es de ellos. El cliente no quiere que la casa se venda en la plaza.", "prose"),
-    ("Bevi tazula mipo sarelona. Kufi da belomari zanu? Tisopa ruvela bo minatu sefo karila. Dofe paluri zeka nimo.", "prose"),
+    ("Bevi tazula mipo sarelona. Kufi da belomari zanu? Tisopa ruvela bo minatu sefo karila. Dofe paluri zeka nimo.", "junk"),
+    ("Der Bote hat den Brief gestern wieder in das falsche Haus gebracht. Wir fragten deshalb bei der Stadt nach. Niemand wusste etwas davon, obwohl das Schild an der Ecke steht.", "prose"),
     (PROSE + "\n\n- one thing\n- another thing\n\n" + PROSE, "prose"),
     ("\n".join(f"- check ledger {i}" for i in range(12)), "list"), ("\n".join(f"{i}. {w} Harbor" for i, w in enumerate("Oak Elm Pine Ash Birch Cedar Larch".split())), "list"),
     (" / ".join(f"{i} Harbor Mill Ln" for i in range(15)), "list"), ("\n".join(f"Unit: stale form {i}" for i in range(9)), "list"), ("\n".join(f"{i}7 Amber Knoll Dr" for i in range(9)), "list"),
@@ -393,12 +394,42 @@ def test_statistics_of_wordy_rows():
     assert s["per_line"] > 12 and s["common"] >= 0.25 and s["items"] == 1.0 and s["run"] > 0
 
 
+def test_statistics_of_long_words_and_prose_commas():
+    assert describe("bcdfg" * 20 + " " + "strength " * 3, COMMON)["clusters"] == 0.25
+    assert describe("bcdfga" * 50_000, COMMON)["clusters"] == 1.0
+    prose = "\n".join(f"At noon, as the clerk of office {i} had said, the letter came back, with a note, to the town." for i in range(6))
+    assert describe(prose, COMMON)["grid"] == describe(prose, COMMON)["fields"] == 0.0
+    rows = "\n".join(f"{i}, North Gate, 0700{i}, open; late" for i in range(6))
+    assert describe(rows, COMMON)["grid"] == 1.0
+
+
+def test_learning_matters(spark):
+    """Single thresholds are wrong about whole types; the rates learned for them put that right."""
+    rows = [(f"id,city,zip,ms\n" + "\n".join(f"{i},Fennburg,0{j}001,{i * 7}" for i in range(6 + j % 9)), "table") for j in range(40)]
+    rows += [("\n".join(f"check ledger {i}" for i in range(5 + j % 7)), "list") for j in range(40)] + [(f"{PROSE} Line {i} is not there.", "prose") for i in range(200)]
+    rows += [(base64.b64encode(random.Random(i).randbytes(90)).decode(), "junk") for i in range(40)]
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    rows += [(" ".join(" ".join(word() for _ in range(12)).capitalize() + "." for _ in range(4)), "junk") for _ in range(40)]
+    made = [describe(t, COMMON) for t, _ in rows]
+    on = np.array([[f(s) for _, _, f in FUNCTIONS] for s in made], float)
+    votes = voted_types()
+    truth = np.array([TYPES.index(t) for _, t in rows])
+    plain = (on @ votes.T).argmax(1)  # most votes
+    pats, counts = np.unique(on, axis=0, return_counts=True)
+    prior, rate = learn(pats, counts.astype(float), votes)
+    learned = (np.log(prior) + on @ np.log(rate).T + (1 - on) @ np.log(1 - rate).T).argmax(1)
+    assert (learned == truth).all() and (plain == truth).mean() < 0.9
+    short = [n for n, _, _ in FUNCTIONS].index("short_lines")
+    assert rate[TYPES.index("list"), short] > 0.9 > 0.2 > rate[TYPES.index("junk"), short]
+
+
 def test_learned_accuracies():
     rng = np.random.default_rng(1)
     votes = np.array([0, 0, 1, 1, 2, 2, 3, 3])
     truth = rng.choice(4, 4000, p=[0.7, 0.1, 0.1, 0.1])
     fires = np.where(votes[None, :] == truth[:, None], rng.random((4000, 8)) < [0.9, 0.6] * 4, rng.random((4000, 8)) < 0.03).astype(float)
     pats, counts = np.unique(fires, axis=0, return_counts=True)
-    prior, rate = learn(pats, counts.astype(float), votes)
+    prior, rate = learn(pats, counts.astype(float), votes[None, :] == np.arange(4)[:, None])
     assert abs(prior[0] - 0.7) < 0.03 and abs(rate[0, 0] - 0.9) < 0.05 and abs(rate[1, 3] - 0.6) < 0.1
     assert len(FUNCTIONS) < 24 and len(TYPES) == 4

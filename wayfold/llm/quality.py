@@ -1,10 +1,11 @@
 """Text quality statistics and text types learned from noisy labelling functions.
 
 Each statistic with a threshold is a labelling function that votes for one type or
-is silent.  How often every function fires for each type is unknown; it is learned
-by expectation-maximization from the agreements of the functions over all texts
-(counts of vote patterns, at most 2^functions whatever the corpus), and every text
-gets the posterior of its type.
+is silent.  Many are wrong about a type of their own: short lines are no list where
+a table has them.  How often every function fires for each type is unknown; it is
+learned by expectation-maximization from the agreements of the functions over all
+texts (counts of vote patterns, at most 2^functions whatever the corpus), and every
+text gets the posterior of its type.
 """
 
 from __future__ import annotations
@@ -36,8 +37,12 @@ RULE = re.compile(r"^[\s|+:=-]+$")
 #: Marks that may set apart the items of a list within one line.
 MARKS = (" / ", " • ", "; ", " | ", " · ", " * ", " - ", " – ", " — ", " + ", " > ", ", ", " ~ ", " → ")
 DAMAGE = re.compile(r"Ã|Â|â€|Ð|Ñ|ï¿½|å¤|�|[\u0080-\u009f]|\\x[0-9a-f]{2}|&#\d+;|%[0-9A-F]{2}")
-#: Four consonants in a row within a word of five letters or more.
-CLUSTER = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{5}|(?![a-z]*(?:ngth|tchs|ghts|rths|rsch|ndst|cht))[bcdfghjklmnpqrstvwxz]{4}")
+#: Five consonants in a row, or four outside of the ends of words that have them by nature.
+FIVE = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}")
+FOUR = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}")
+NATURAL = re.compile(r"ngth|tchs|ghts|rths|rsch|ndst|cht")
+#: Bytes of Latin letters by whether they are vowels or consonants, anything else as a space.
+SOUND = bytes(118 if c in "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿ" else 99 if c in "bcdfghjklmnpqrstvwxzçñðþß" else 32 for c in (chr(i).lower() for i in range(256)))
 #: Without one of these there is no damage, or no foreign letter; quicker to look for.
 DAMAGE_MAYBE = re.compile(r"[ÃÂâÐÑïå�\u0080-\u009f\\&%]")
 FOREIGN_MAYBE = re.compile(r"[^\u0000-ɏ]")
@@ -50,37 +55,46 @@ STATS = (
     ("line_end_share", T.DoubleType()),
     ("common_share", T.DoubleType()),
 )
-#: name, the type it votes for, and its threshold on the statistics below.
+#: name, the types it votes for, and a threshold on a statistic of :func:`describe`.
 FUNCTIONS = (
     ("common_words", "prose", lambda s: s["common"] >= 0.18),
-    ("running_words", "prose", lambda s: s["per_line"] >= 9 and s["wordlike"] >= 0.75 and s["segment"] > 5.5 and s["distinct"] > 0.06),
-    ("sentence_length", "prose", lambda s: s["sentence"] is not None and 3 <= s["sentence"] <= 45 and s["wordlike"] >= 0.7 and s["grid"] < 0.3),
-    ("other_script", "prose", lambda s: s["foreign"] >= 0.5 and s["distinct"] > 0.15),
+    ("long_lines", "prose", lambda s: s["per_line"] >= 9),
+    ("sentences", "prose", lambda s: 3 <= s["sentence"] <= 45),
+    ("clean_words", "prose", lambda s: s["wordlike"] >= 0.85),
+    ("letter_flow", "prose list table", lambda s: 0.5 <= s["syllables"] < 0.85),
+    ("other_script", "prose", lambda s: s["foreign"] >= 0.5),
     ("item_marks", "list", lambda s: s["items"] >= 0.55),
-    ("key_value", "list", lambda s: s["pairs"] >= 0.6 and s["per_line"] <= 9 and s["common"] < 0.2),
-    ("short_lines", "list", lambda s: s["lines"] >= 4 and s["per_line"] <= 7 and s["common"] < 0.12 and s["grid"] < 0.3 and s["distinct"] > 0.15 and s["wordlike"] >= 0.25),
-    ("inline_marks", "list", lambda s: s["segment"] <= 5.5 and s["grid"] < 0.3 and s["common"] < 0.15 and s["distinct"] > 0.15),
-    ("item_words", "list", lambda s: s["common"] < 0.12 and s["wordlike"] >= 0.2 and s["distinct"] > 0.2 and s["grid"] < 0.3 and 3 <= s["run"] <= 9 and s["symbol"] < 0.3 and s["damage"] < 0.03 and s["clusters"] < 0.1 and (s["per_line"] < 9 or s["segment"] <= 5.5)),
+    ("key_value", "list", lambda s: s["pairs"] >= 0.6),
+    ("short_lines", "list table", lambda s: s["lines"] >= 4 and s["per_line"] <= 7),
+    ("inline_marks", "list", lambda s: s["segment"] <= 5.5),
+    ("few_common", "list table junk", lambda s: s["common"] < 0.12),
     ("same_fields", "table", lambda s: s["grid"] >= 0.55),
-    ("field_lines", "table", lambda s: s["fields"] >= 0.6 and s["lines"] >= 3 and s["common"] < 0.15),
-    ("repetition", "junk", lambda s: s["words"] >= 8 and (s["distinct"] <= 0.045 or s["words"] * s["distinct"] <= 2)),
-    ("symbols", "junk", lambda s: s["symbol"] >= 0.45 and s["grid"] < 0.55),
+    ("field_lines", "table", lambda s: s["fields"] >= 0.6),
+    ("repetition", "junk", lambda s: s["words"] >= 8 and s["distinct"] <= 0.045),
+    ("same_words", "junk", lambda s: s["words"] >= 8 and s["kinds"] <= 2),
+    ("same_lines", "junk", lambda s: s["lines"] >= 4 and s["line_kinds"] <= 0.25),
+    ("symbols", "junk", lambda s: s["symbol"] >= 0.45),
     ("long_runs", "junk", lambda s: s["run"] >= 13),
-    ("short_runs", "junk", lambda s: 0 < s["run"] <= 2.4 and s["foreign"] < 0.5),
+    ("short_runs", "junk", lambda s: 0 < s["run"] <= 2.4),
     ("damage", "junk", lambda s: s["damage"] >= 0.12),
-    ("clusters", "junk", lambda s: s["clusters"] >= 0.2 and s["common"] < 0.12),
-    ("no_words", "junk", lambda s: s["wordlike"] < 0.12 and s["grid"] < 0.3 and s["foreign"] < 0.5 and s["items"] < 0.55),
+    ("clusters", "junk", lambda s: s["clusters"] >= 0.2),
+    ("no_words", "junk", lambda s: s["wordlike"] < 0.12),
+    ("even_syllables", "junk", lambda s: s["syllables"] >= 0.9),
 )
 
 
 def fields_of(line: str) -> tuple[str, int]:
-    """The mark that makes most fields of a line, and how many fields."""
+    """The mark that makes most fields of a line, and how many fields.
+
+    Commas and semicolons part fields only where these are short, three words at most
+    on average; else they are those of sentences.
+    """
     best = ("", 1)
     for mark in ("\t", "|", ";", ","):
         n = line.count(mark) + 1
         if mark == "|" and n > 1:
             n -= line.lstrip().startswith("|") + line.rstrip().endswith("|")
-        if n > best[1]:
+        if n > best[1] and (mark in "\t|" or len(line.split()) <= 3 * n):
             best = (mark, n)
     gaps = len(GAP.findall(line)) + 1 if "  " in line or "\t" in line else 1
     if best[1] < 4 and gaps > best[1]:
@@ -88,30 +102,36 @@ def fields_of(line: str) -> tuple[str, int]:
     return best
 
 
+#: Statistics of a text without words; a sentence length of 0 stands for no sentence end.
+ZEROS = dict.fromkeys(
+    ("words", "length", "symbol", "ends", "common", "lines", "line_kinds", "per_line", "wordlike", "sentence", "segment", "distinct", "kinds", "grid", "fields", "items", "pairs", "run", "damage", "clusters", "foreign", "syllables"), 0.0
+)
+
+
 def describe(text: str, common: frozenset[str]) -> dict:
     """All statistics of one text; of an empty or blank one they are zeros."""
     words = WORD.findall(text)
     if not words:
-        return dict.fromkeys(
-            ("words", "length", "symbol", "ends", "common", "lines", "per_line", "wordlike", "segment", "distinct", "grid", "fields", "items", "pairs", "run", "damage", "clusters", "foreign"), 0.0
-        ) | {"sentence": None}
+        return dict(ZEROS)
     n, chars = len(words), sum(map(len, words))
     plain = [w.lower().strip(EDGE) for w in words]
     known = sum(map(common.__contains__, plain))
     alnum = [w for w in plain if w and (w.isalnum() or any(map(str.isalnum, w)))]
     lines = [x for x in map(str.strip, LINES.split(text)) if x]
-    size = sum(map(len, lines)) or 1
-    out = {
+    kinds = len(set(alnum))
+    out = ZEROS | {
         "words": n,
         "length": chars / n,
         "symbol": len(SYMBOL.findall(text)) / len(text),
         "ends": sum(x[-1] in LINE_END for x in lines) / len(lines) if lines else 0.0,
         "common": known / n,
         "lines": len(lines),
+        "line_kinds": len(set(lines)) / len(lines) if lines else 0.0,
         "per_line": n / len(lines) if lines else float(n),
-        "distinct": len(set(alnum)) / len(alnum) if alnum else 0.0,
-        "sentence": None, "wordlike": 0.0, "segment": 99.0, "grid": 0.0, "fields": 0.0, "items": 0.0, "pairs": 0.0, "run": 0.0, "damage": 0.0, "clusters": 0.0, "foreign": 0.0,
-    }
+        "distinct": kinds / len(alnum) if alnum else 0.0,
+        "kinds": kinds,
+        "segment": 99.0,
+    }
     alpha = [w for w in alnum if w.isalpha() or w.replace("'", "").replace("’", "").replace("-", "").isalpha()]
     out["wordlike"] = sum(2 <= len(w) <= 16 or w in common for w in alpha) / n
     stops = sum(w[-1] in ".!?…" for w in words)
@@ -121,9 +141,13 @@ def describe(text: str, common: frozenset[str]) -> dict:
     out["run"] = sum(map(len, runs)) / len(runs) if runs else 0.0
     out["damage"] = len(DAMAGE.findall(text)) / chars if DAMAGE_MAYBE.search(text) else 0.0
     out["foreign"] = len(FOREIGN.findall(text)) / max(1, chars) if FOREIGN_MAYBE.search(text) else 0.0
-    # Every function that asks for clusters asks for less than 0.12 common words too.
-    long_ = [] if out["common"] >= 0.12 else [w for w in plain if 5 <= len(w) <= 40 and w.isascii() and not any(map(str.isdigit, w))]
-    out["clusters"] = sum(CLUSTER.search(w) is not None for w in long_) / n if long_ else 0.0
+    # Of the pairs of neighbouring letters those of a vowel and a consonant; few letters count as if more.
+    sound = text.encode("latin-1", "replace").translate(SOUND)
+    together = sound.count(b"v") + sound.count(b"c") - len(sound.split())
+    out["syllables"] = (sound.count(b"vc") + sound.count(b"cv")) / max(together, chars / 4)
+    if b"cccc" in sound:
+        long_ = [w for w in plain if len(w) >= 5 and w.isascii() and FOUR.search(w) and not any(map(str.isdigit, w))]
+        out["clusters"] = sum(NATURAL.search(w) is None or FIVE.search(w) is not None for w in long_) / n
     body = lines[1:] if len(lines) > 1 and lines[0].endswith(":") else lines
     size = sum(map(len, body)) or 1
     out["items"] = sum(len(x) for x in body if ITEM.match(x)) / size if len(body) > 1 else 0.0
@@ -148,15 +172,24 @@ def describe(text: str, common: frozenset[str]) -> dict:
     return out
 
 
-def learn(patterns: np.ndarray, counts: np.ndarray, votes: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+#: A function is never taken to be surer than this, as functions aren't independent.
+UNSURE = 0.01
+
+
+def voted_types() -> np.ndarray:
+    """One row a type and one column a function: whether it votes for the type."""
+    return np.array([[t in types.split() for _, types, _ in FUNCTIONS] for t in TYPES])
+
+
+def learn(patterns: np.ndarray, counts: np.ndarray, votes: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Priors of the types and firing rates of the functions, by EM.
 
-    ``patterns`` are 0/1 rows, ``votes`` the type each function votes for.  The
-    start, also kept as pseudo-counts, says that a function fires for its own type
-    in half of the cases and for another in one of fifty.
+    ``patterns`` are 0/1 rows, ``votes`` is true where a function (column) votes for a
+    type (row).  The start, also kept as pseudo-counts, says that a function fires for
+    a type it votes for in half of the cases and for another in one of fifty.
     """
-    k, m = len(TYPES), patterns.shape[1]
-    start = np.where(votes[None, :] == np.arange(k)[:, None], 0.5, 0.02)
+    k, m = votes.shape
+    start = np.where(votes, 0.5, 0.02)
     prior, rate = np.full(k, 1 / k), start.copy()
     total = counts.sum()
     strength = 4.0
@@ -168,7 +201,7 @@ def learn(patterns: np.ndarray, counts: np.ndarray, votes: np.ndarray, rounds: i
         w = post * counts[:, None]
         new_prior = (w.sum(axis=0) + 1) / (total + k)
         new_rate = (w.T @ patterns + strength * start) / (w.sum(axis=0)[:, None] + strength)
-        new_rate = np.clip(new_rate, 1e-4, 1 - 1e-4)
+        new_rate = np.clip(new_rate, UNSURE, 1 - UNSURE)
         moved = max(np.abs(new_rate - rate).max(), np.abs(new_prior - prior).max())
         prior, rate = new_prior, new_rate
         if moved < 1e-7:
@@ -215,9 +248,9 @@ def text_types(documents: DataFrame, common_words: DataFrame, key: str = "doc_id
     table gives an empty one.
     """
     stats = cut(statistics(documents, common_words, key, text))
-    seen = stats.where("votes is not null").groupBy("votes").count().collect()  # at most 2^len(FUNCTIONS) rows
+    seen = stats.where("votes is not null").groupBy("votes").count().collect()  # at most one for each vote pattern, 2^len(FUNCTIONS)
     m = len(FUNCTIONS)
-    votes = np.array([TYPES.index(t) for _, t, _ in FUNCTIONS])
+    votes = voted_types()
     if seen:
         patterns = np.array([[r["votes"] >> i & 1 for i in range(m)] for r in seen], float)
         prior, rate = learn(patterns, np.array([r["count"] for r in seen], float), votes)
@@ -233,5 +266,5 @@ def text_types(documents: DataFrame, common_words: DataFrame, key: str = "doc_id
         made.append((r["votes"], *post, kind))
     names = [f"p_{t}" for t in TYPES]
     types = stats.sparkSession.createDataFrame(made, f"v bigint, {', '.join(f'{n} double' for n in names)}, kind string")
-    out = stats.join(F.broadcast(types), F.col("votes") == F.col("v"), "left")  # a row for each vote pattern seen
+    out = stats.join(types, F.col("votes") == F.col("v"), "left")
     return out.select(key, *(n for n, _ in STATS), "votes", *names, "kind")
