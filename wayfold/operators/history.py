@@ -20,15 +20,19 @@ WORD = 62
 END = "9999-12-31"
 
 
-def presence_runs(observed: DataFrame, entity: str, number: str, value: str) -> DataFrame:
+def presence_runs(observed: DataFrame, entity: str, number: str, value: str, facts: Sequence[str] = ()) -> DataFrame:
     """Runs (``entity``, ``value``, ``first``, ``last``) of consecutive observation numbers.
 
     ``observed`` has one row per entity and number, numbers 0, 1, 2 ... in order.  A
-    null value makes a run like any other; a null entity is an entity.
+    null value makes a run like any other; a null entity is an entity.  With ``facts``
+    each run has an array ``facts`` of its observations in order: the number as ``n``
+    and these columns, so that none has to be joined to it.  If ``observed`` is
+    partitioned by the entity, nothing is shuffled.
     """
     word = F.expr(f"cast({number} div {WORD} as int)")
     bit = F.expr(f"shiftleft(1L, cast({number} % {WORD} as int))")
-    maps = observed.groupBy(entity, value, word.alias("_w")).agg(F.bit_or(bit).alias("_b"))
+    fact = [F.collect_list(F.struct(F.col(number).cast("long").alias("n"), *facts)).alias("_f")] if facts else []
+    maps = observed.groupBy(entity, value, word.alias("_w")).agg(F.bit_or(bit).alias("_b"), *fact)
     w = Window.partitionBy(entity, value).orderBy("_w")
     before = F.when(F.lag("_w").over(w) == F.col("_w") - 1, F.shiftrightunsigned(F.lag("_b").over(w), WORD - 1).bitwiseAND(F.lit(1))).otherwise(F.lit(0))
     after = F.when(F.lead("_w").over(w) == F.col("_w") + 1, F.shiftleft(F.lead("_b").over(w).bitwiseAND(F.lit(1)), WORD - 1)).otherwise(F.lit(0).cast("long"))
@@ -40,11 +44,12 @@ def presence_runs(observed: DataFrame, entity: str, number: str, value: str) ->
         return F.expr(f"transform(filter(sequence(0, {WORD - 1}), i -> (shiftrightunsigned({mask}, i) & 1L) = 1L), i -> _w * {WORD}L + i)")
 
     maps = maps.withColumns({"_s": starts, "_e": ends}).withColumns({"_s": positions("_s"), "_e": positions("_e")})
-    runs = maps.groupBy(entity, value).agg(F.flatten(F.sort_array(F.collect_list("_s"))).alias("_s"), F.flatten(F.sort_array(F.collect_list("_e"))).alias("_e"))
+    flat = [F.flatten(F.sort_array(F.collect_list(c))).alias(c) for c in ("_s", "_e")]
+    runs = maps.groupBy(entity, value).agg(*flat, *([F.flatten(F.collect_list("_f")).alias("_f")] if facts else []))
     # Empty arrays sort first and vanish in flatten; the others are ordered by their first position.
-    return runs.select(entity, value, F.explode(F.arrays_zip(F.col("_s").alias("first"), F.col("_e").alias("last"))).alias("_r")).select(
-        entity, value, F.col("_r.first").alias("first"), F.col("_r.last").alias("last")
-    )
+    runs = runs.withColumn("_r", F.explode(F.arrays_zip(F.col("_s").alias("first"), F.col("_e").alias("last"))))
+    own = [F.array_sort(F.filter("_f", lambda x: x["n"].between(F.col("_r.first"), F.col("_r.last")))).alias("facts")] if facts else []
+    return runs.select(entity, value, F.col("_r.first").alias("first"), F.col("_r.last").alias("last"), *own)
 
 
 def last_loaded(snapshots: DataFrame, keys: Sequence[str], loaded: str) -> DataFrame:
@@ -72,8 +77,9 @@ def attribute_history(snapshots: DataFrame, entity: str, attributes: Sequence[st
     rows = snapshots.select(*cols, F.struct(*attributes).alias("_v")).where("_id is not null and _at is not null")
     rows = last_loaded(rows, ["_id", "_at"], "_load").withColumn("_h", F.md5(F.to_json("_v", {"ignoreNullFields": "false"}).cast("binary")))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_at")) - 1)
-    runs = presence_runs(rows, "_id", "_n", "_h")
-    made = runs.join(rows.select("_id", F.col("_n").cast("long").alias("first"), "_at", "_v"), ["_id", "first"])
+    runs = presence_runs(rows, "_id", "_n", "_h", ["_at", "_v"])
+    shown = F.get("facts", F.lit(0))
+    made = runs.select("_id", "first", shown["_at"].alias("_at"), shown["_v"].alias("_v"))
     upto = F.lead("_at").over(Window.partitionBy("_id").orderBy("first"))
     return made.select(F.col("_id").alias(entity), *[F.col(f"_v.{a}").alias(a) for a in attributes], F.col("_at").alias("valid_from"), upto.alias("valid_to"))
 
@@ -96,66 +102,39 @@ def address_history(snapshots: DataFrame) -> DataFrame:
     without date or address show nothing.  Null cities and states compare as empty.
     Repeated rows and entries count once.  An empty table has no versions.
     """
-    need = ["crid", "address", "city", "state", "last_move", "created_date", "move_history", "snapshot_date", "loaded_at"]
-    snaps = last_loaded(snapshots.select(*need).where("crid is not null and snapshot_date is not null"), ["crid", "snapshot_date"], "loaded_at")
-
-    def place(line: str, city: str, state: str) -> Column:
-        return F.struct(line_form(F.col(line)).alias("line"), city_form(F.col(city)).alias("city"), F.upper(F.trim(F.coalesce(F.col(state), F.lit("")))).alias("state"))
-
-    seen = snaps.where("trim(address) <> ''").select(
-        "crid",
-        F.col("snapshot_date").alias("at"),
-        F.lit(2).alias("kind"),
-        place("address", "city", "state").alias("p"),
-        F.lit(None).cast("string").alias("origin"),
-        F.coalesce("last_move", "snapshot_date").alias("since"),
-        "created_date",
-    )
-    moves = snaps.select("crid", "created_date", F.explode("move_history").alias("m")).where("m.move_date is not null and trim(m.to_address) <> ''")
-    moves = moves.select("crid", F.col("m.move_date").alias("at"), place("m.to_address", "m.city", "m.state").alias("p"), line_form(F.col("m.from_address")).alias("origin"), "created_date")
-    moves = moves.groupBy("crid", "at", "p").agg(F.max(F.nullif("origin", F.lit(""))).alias("origin"), F.min("created_date").alias("created_date"))
-    moves = moves.select("crid", "at", F.lit(1).alias("kind"), "p", "origin", F.col("at").alias("since"), "created_date")
-    events = seen.unionByName(moves)
-    order = Window.partitionBy("crid").orderBy("at", "kind", "p")
-    events = events.withColumn("_k", F.row_number().over(order))
+    moves = F.transform("move_history", lambda m: F.struct(*(m[c].alias(c) for c in ("move_date", "to_address", "city", "state", "from_address"))))
+    need = ["crid", "address", "city", "state", "last_move", "created_date", moves.alias("moves"), "snapshot_date", "loaded_at"]
+    snaps = last_loaded(snapshots.where("crid is not null and snapshot_date is not null").select(*need), ["crid", "snapshot_date"], "loaded_at")
+
+    def place(line: Column, city: Column, state: Column) -> Column:
+        return F.struct(line_form(line).alias("line"), city_form(city).alias("city"), F.upper(F.trim(F.coalesce(state, F.lit("")))).alias("state"))
+
+    def event(at: Column, kind: int, p: Column, origin: Column, since: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), p.alias("p"), origin.alias("origin"), since.alias("since"))
+
+    c = {x: F.col(x) for x in ("address", "city", "state", "snapshot_date", "last_move")}
+    seen = event(c["snapshot_date"], 2, place(c["address"], c["city"], c["state"]), F.lit(None).cast("string"), F.coalesce(c["last_move"], c["snapshot_date"]))
+    seen = F.when(F.trim(c["address"]) != "", F.array(seen)).otherwise(F.array())
+    told = F.filter("moves", lambda m: m["move_date"].isNotNull() & (F.trim(m["to_address"]) != ""))
+    told = F.transform(told, lambda m: event(m["move_date"], 1, place(m["to_address"], m["city"], m["state"]), F.nullif(line_form(m["from_address"]), F.lit("")), m["move_date"]))
+    # From here on a customer's rows, few after the last loads are chosen, are in one partition.
+    events = snaps.select("crid", "created_date", F.explode(F.concat(seen, F.coalesce(told, F.array()))).alias("e")).repartition("crid")
+    events = events.groupBy("crid", "e.at", "e.kind", "e.p").agg(F.max("e.origin").alias("origin"), F.min("e.since").alias("since"), F.min("created_date").alias("created_date"))
+    w = Window.partitionBy("crid")
+    events = events.withColumns({"k": F.row_number().over(w.orderBy("at", "kind", "p")), "created": F.min("created_date").over(w)})
     # What the first observation came from, if it is an entry: an observation before it.  An equal
     # line is then one in another city, as it was a move.
-    came = events.where("_k = 1 and kind = 1 and origin is not null").select(
-        "crid",
-        "at",
-        F.lit(0).alias("kind"),
-        F.struct(F.col("origin").alias("line"), F.lit("").alias("city"), F.lit("").alias("state")).alias("p"),
-        "origin",
-        F.col("created_date").alias("since"),
-        "created_date",
-        F.lit(0).alias("_k"),
-    )
-    events = events.unionByName(came)
-    w = Window.partitionBy("crid")
-    events = events.withColumns(
-        {
-            "n": (F.row_number().over(w.orderBy("_k")) - 1).cast("long"),
-            "created": F.min("created_date").over(w),
-            "h": F.md5(F.concat_ws("|", "p.line", "p.city", "p.state").cast("binary")),
-        }
-    )
-    runs = presence_runs(events, "crid", "n", "h")
-    stays = events.join(runs, ["crid", "h"]).where("n between first and last")
-    stays = stays.groupBy("crid", "h", "first").agg(
-        F.min(F.when(F.col("kind") == 1, F.col("since"))).alias("moved"),
-        F.min_by("since", F.when(F.col("kind") == 2, F.col("n"))).alias("shown"),
-        F.min("created").alias("created"),
-        F.any_value("p").alias("p"),
-        F.count_if(F.col("kind") == 2).alias("seen"),
-    )
-    start = F.coalesce("moved", F.when(F.col("first") == 0, F.col("created")), "shown")
-    stays = stays.withColumn("since", F.date_format(start, "yyyy-MM-dd"))
-    return stays.select(
-        "crid",
-        "p.line",
-        "p.city",
-        "p.state",
-        F.col("since").alias("valid_from"),
-        F.coalesce(F.lead("since").over(Window.partitionBy("crid").orderBy("first")), F.lit(END)).alias("valid_to"),
-        F.col("seen"),
-    )
+    led = (F.col("k") == 1) & (F.col("kind") == 1) & F.col("origin").isNotNull()
+    shift = F.max(led.cast("int")).over(w)
+    before = F.struct(F.lit(0).alias("kind"), F.struct(F.col("origin").alias("line"), F.lit("").alias("city"), F.lit("").alias("state")).alias("p"), F.col("created_date").alias("since"), F.lit(0).alias("n"))
+    itself = F.struct("kind", "p", "since", (F.col("k") - 1 + F.col("shift")).alias("n"))
+    events = events.withColumn("shift", shift).select("crid", "created", F.explode(F.when(led, F.array(before, itself)).otherwise(F.array(itself))).alias("e"))
+    events = events.select("crid", "created", "e.*").withColumn("h", F.md5(F.concat_ws("|", "p.line", "p.city", "p.state").cast("binary")))
+    stays = presence_runs(events, "crid", "n", "h", ["kind", "since", "p", "created"])
+    shown = F.filter("facts", lambda x: x["kind"] == 2)
+    moved = F.array_min(F.transform(F.filter("facts", lambda x: x["kind"] == 1), lambda x: x["since"]))
+    any_ = F.get("facts", F.lit(0))
+    start = F.coalesce(moved, F.when(F.col("first") == 0, any_["created"]), F.get(shown, F.lit(0))["since"])
+    stays = stays.select("crid", "first", any_["p"].alias("p"), F.size(shown).cast("long").alias("seen"), F.date_format(start, "yyyy-MM-dd").alias("since"))
+    upto = F.lead("since").over(Window.partitionBy("crid").orderBy("first"))
+    return stays.select("crid", "p.line", "p.city", "p.state", F.col("since").alias("valid_from"), F.coalesce(upto, F.lit(END)).alias("valid_to"), "seen")
