@@ -23,8 +23,9 @@ POINTS = {"n", "s", "e", "w", "ne", "nw", "se", "sw"}
 
 def fold(text: str | None) -> str:
     """Lower case without marks; joined CamelCase words are parted, hyphens within words are spaces."""
-    t = unicodedata.normalize("NFKD", text or "")
-    t = "".join(c for c in t if not unicodedata.combining(c))
+    t = text or ""
+    if not t.isascii():
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     t = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", t).lower()
     return re.sub(r"(?<=[a-z])-(?=[a-z])", " ", t.replace("\t", " "))
 
@@ -134,7 +135,7 @@ class Parser:
         if best:
             _, i, n, e = best
             out["city"] = e[0]
-            for form in sorted(g.forms(n), key=len, reverse=True):
+            for form in sorted(g.name_forms[n], key=len, reverse=True):
                 w = form.split()
                 q = [x.replace("0", "o") if not x.isdigit() else x for x in parts[i]]
                 at = [j for j in range(len(q) - len(w) + 1) if q[j : j + len(w)] == w]
@@ -150,7 +151,7 @@ class Parser:
                     break
             return [p for p in parts if p]
         # A window of words like a name expected by zip or state, then like any name.
-        expected = {g.full(plain(e[1])) for e in there} | {n for n, es in g.by_name.items() if states and any(e[2] in states for e in es)}
+        expected = {g.full(plain(e[1])) for e in there}.union(*(g.by_state[st] for st in states))
         top = (0.0, 0, 0, 0, "")
         for i, p in enumerate(parts):
             first = next((j for j, w in enumerate(p) if any(c.isdigit() for c in w) and not re.search(r"[a-z]{3}", w)), -1)

@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -38,12 +39,15 @@ NOTHING = {"", "na", "n a", "none", "null", "nil", "unknown", "unk", "tbd", "tes
 # Words around a name that say nothing about it.
 AROUND = {"city", "town", "of", "limits", "village", "township", "county", "near", "the", "usa", "us", "area", "municipality", "borough", "in", "greater", "metro", "vicinity"}
 VOWELS = re.compile(r"[aeiouy]")
+WORDS = re.compile(r"[a-z0-9]+")
 
 
 def plain(text: str | None) -> str:
     """Lower-case letters and digits, without marks, single spaces."""
-    text = unicodedata.normalize("NFKD", (text or "").lower())
-    return " ".join(re.findall(r"[a-z0-9]+", "".join(c for c in text if not unicodedata.combining(c))))
+    text = (text or "").lower()
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return " ".join(WORDS.findall(text))
 
 
 def clean_zip(text: str | None) -> str:
@@ -62,42 +66,70 @@ def clean_zip(text: str | None) -> str:
 
 
 def edits(a: str, b: str, most: int = 99) -> int:
-    """Edits of single letters and swaps of neighbours; above ``most`` it may be most + 1."""
+    """Edits of single letters and swaps of neighbours, each stretch edited once; most + 1 if there are more.
+
+    A column of the table of distances is kept as bits of its steps up and down, so
+    that a letter costs a few operations on whole integers.
+    """
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before: list[int] = []
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            v = min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            now.append(v)
-        if min(now) > most:
-            return most + 1
-        before, last = last, now
-    return last[-1]
-
-
-def alike(a: str, b: str) -> float:
-    """Similarity of two words; left-out vowels count little."""
+    x, y = letter_set(a), letter_set(b)
+    if (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:  # a letter the other hasn't costs an edit
+        return most + 1
+    if not a or not b:
+        return len(a) + len(b)
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    up, down, flat, before, n = full, 0, 0, 0, len(a)
+    for c in b:
+        here = at.get(c, 0)
+        swap = ((~flat & here) << 1) & before
+        flat = (((here & up) + up) ^ up | here | down | swap) & full
+        plus, minus = down | (full & ~(flat | up)), flat & up
+        n += (plus & top != 0) - (minus & top != 0)
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(flat | plus)) & full, plus & flat
+        before = here
+    return min(n, most + 1)
+
+
+@lru_cache(1 << 16)
+def letter_set(word: str) -> int:
+    """The letters of a word as bits; others may share one."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+@lru_cache(1 << 17)
+def alike(a: str, b: str, least: float = 0.0) -> float:
+    """Similarity of two words; left-out vowels count little.  Below ``least`` it may be too low."""
     if a == b:
         return 1.0
     long_ = max(len(a), len(b))
     if len(a) < 3 or len(b) < 3:
         return 0.0
-    score = 1 - edits(a, b, max(2, long_ // 2)) / long_
-    x, y = VOWELS.sub("", a), VOWELS.sub("", b)
-    if len(x) >= 3 and a[0] == b[0]:
-        k = edits(x, y, 2)
-        if k == 0:
-            score = max(score, 0.86)
-        elif k == 1 and len(y) >= 4 and len(a) < len(b):  # a vowel-less word with one more slip
-            score = max(score, 0.74)
+    score = 1 - edits(a, b, min(max(2, long_ // 2), int((1 - least) * long_ + 1e-9))) / long_
+    if score < 0.86 and a[0] == b[0]:
+        x, y = bare(a), bare(b)
+        if len(x) >= 3:
+            if x == y:
+                score = 0.86
+            elif score < 0.74 and len(y) >= 4 and len(a) < len(b) and edits(x, y, 1) == 1:  # a vowel-less word with one more slip
+                score = 0.74
     return max(0.0, score)
 
 
+@lru_cache(1 << 16)
+def bare(word: str) -> str:
+    return VOWELS.sub("", word)
+
+
 def pairs(word: str) -> set[str]:
     w = f"^{word}$"
     return {w[i : i + 2] for i in range(len(w) - 1)} | {"~" + w[i] + w[i + 2] for i in range(len(w) - 2)}
@@ -131,7 +163,16 @@ class Gazetteer:
                 self.states[e[2].lower()] = e[2]
                 if e[3]:
                     self.states[plain(e[3])] = e[2]
-        self.zips = sorted((e[4], e[5], e) for e in self.entries if e[4] and e[5])
+        self.by_state: dict[str, set[str]] = defaultdict(set)
+        for n, es in self.by_name.items():
+            for e in es:
+                self.by_state[e[2]].add(n)
+        # Zip ranges under each three digits they touch.
+        self.zips: dict[str, list[tuple]] = defaultdict(list)
+        for e in sorted((e for e in self.entries if e[4] and e[5]), key=lambda e: (e[4], e[5])):
+            if e[4][:3].isdecimal() and e[5][:3].isdecimal():
+                for k in range(int(e[4][:3]), int(e[5][:3]) + 1):
+                    self.zips[f"{k:03}"].append(e)
         self.machine = ahocorasick.Automaton()
         for n in self.by_name:
             for a in self.forms(n):
@@ -139,6 +180,9 @@ class Gazetteer:
         if len(self.machine):
             self.machine.make_automaton()
         self.seen: dict[tuple, tuple] = {}
+        self.near_common = lru_cache(1 << 16)(self._near_common)
+        self.state = lru_cache(1 << 16)(self._state)
+        self.name_forms = {n: self.forms(n) for n in self.by_name}
 
     @staticmethod
     def full(name: str) -> str:
@@ -155,7 +199,7 @@ class Gazetteer:
         words = name.split()
         return [w for w in words if w not in self.common] or words
 
-    def near_common(self, word: str) -> bool:
+    def _near_common(self, word: str) -> bool:
         """Whether a word may be a slip of a word that is common in names."""
         return any(alike(word, c) >= 0.75 if len(c) > 3 else len(c) == len(word) == 3 and edits(word, c, 1) < 2 for c in self.common)
 
@@ -168,7 +212,7 @@ class Gazetteer:
                 hits.append((end, name))
         spans = []
         for end, name in hits:
-            for form in self.forms(name):
+            for form in self.name_forms[name]:
                 if padded.endswith(f" {form} ", 0, end + 1):
                     spans.append((end - len(form) - 1, end, name))
         spans.sort(key=lambda s: (s[0] - s[1], s[0]))
@@ -181,7 +225,7 @@ class Gazetteer:
             rest[a + 1 : b] = " " * (b - a - 1)
         return [n for _, _, n in sorted(taken)], "".join(rest).split()
 
-    def state(self, text: str | None) -> str | None:
+    def _state(self, text: str | None) -> str | None:
         t = plain(text)
         if not t or t in NOTHING:
             return None
@@ -204,9 +248,9 @@ class Gazetteer:
         return {v for k, v in self.states.items() if len(t) >= 3 and len(k) > 2 and k.startswith(t)}
 
     def at_zip(self, zip_: str) -> list[tuple]:
-        if len(zip_) == 5:
-            return [e for a, b, e in self.zips if a <= zip_ <= b]
-        return [e for a, b, e in self.zips if a[: len(zip_)] <= zip_ <= b[: len(zip_)]] if zip_ else []
+        """Entries with a range around a zip of five digits, or that has zips of these first three."""
+        there = self.zips.get(zip_[:3], [])
+        return [e for e in there if e[4] <= zip_ <= e[5]] if len(zip_) == 5 else there
 
     def similar(self, words: list[str]) -> list[tuple[float, str]]:
         """Names by token-set similarity to the words; telling words must be alike."""
@@ -221,12 +265,12 @@ class Gazetteer:
             for p in own:
                 for v in self.postings.get(p, ()):
                     shared[v] += 1
-            like[w] = {v: s for v, k in shared.items() if k * 6 >= len(own) and (s := alike(w, v)) >= LEAST}
+            like[w] = {v: s for v, k in shared.items() if k * 6 >= len(own) and (s := alike(w, v, LEAST)) >= LEAST}
         names = {n for found in like.values() for v in found for n in self.words[v]}
         joined = "".join(words)
         if len(telling) > 1 or len(words) > 1:
             for v in {x for w in (joined, "".join(telling)) for p in pairs(w) for x in self.postings.get(p, ())}:
-                if alike("".join(telling), v) >= 0.8:
+                if alike("".join(telling), v, 0.8) >= 0.8:
                     names |= self.words[v]
         for n in names:
             theirs = n.split()
