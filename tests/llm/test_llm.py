@@ -21,7 +21,7 @@ from wayfold.llm.bpe import DEFAULT_RANKS, PATTERN, Encoder, PairTable, count_to
 from wayfold.llm.mixing import copies, mix, repetition_rates
 from wayfold.llm.places import Gazetteer, clean_zip, edits, map_places
 from wayfold.llm.quality import FUNCTIONS, TYPES, describe, learn, start_rates, statistics, text_types
-from wayfold.llm.same_address import mine_rewrites, same_address_pairs, settle
+from wayfold.llm.same_address import SIGNIFICANT, mine_rewrites, respellings, rewrite, same_address_pairs, settle
 from wayfold.llm.splitting import SPACE, split_documents, split_text
 
 
@@ -315,10 +315,65 @@ def test_records_without_a_street(spark):
     assert pairs_of(spark, typed) == {(1, 2)}
 
 
+def doors_of(spark, rows):
+    """Written doors of (place, number, name, type, town), each of one record."""
+    cols = "place string, number string, name array<string>, type string, town string"
+    return spark.createDataFrame(rows, cols).withColumns({"n": F.lit(1), "direction": F.lit(""), "state": F.lit("nj"), "box": F.lit(""), "sig": F.expr("uuid()")})
+
+
+def mined(spark, rows):
+    return {(r.old, r.new): r.support for r in mine_rewrites(doors_of(spark, rows)).collect() if r.ratio > SIGNIFICANT}
+
+
 def test_mines_slips_of_a_second_street(spark):
-    doors = [(1, n, ["brackworth"]) for n in range(60)] + [(1, n, ["stavmead"]) for n in range(12)] + [(1, n, ["stavmeab"]) for n in range(3)] + [(2, n, ["larkspur"]) for n in range(200)]
-    parsed = spark.createDataFrame([(i, city, str(n + 1), name, "") for i, (city, n, name) in enumerate(doors)], "id bigint, city bigint, number string, name array<string>, state string")
-    assert [(r.old, r.new, r.support) for r in mine_rewrites(parsed).collect()] == [("stavmeab", "stavmead", 3)]
+    doors = [("1", n, ["brackworth"]) for n in range(60)] + [("1", n, ["stavmead"]) for n in range(12)] + [("1", n, ["stavmeab"]) for n in range(3)] + [("2", n, ["larkspur"]) for n in range(200)]
+    assert mined(spark, [(p, str(n), name, "", "") for p, n, name in doors]) == {("stavmeab", "stavmead"): 3}
+
+
+def test_mines_types_towns_and_words_apart(spark):
+    doors = [("1", str(n), ["oak", "hollow"], "st", "") for n in range(40)] + [("1", str(n), ["oakhollow"], "st", "") for n in range(5)]
+    doors += [("1", str(n), ["oak", "hollow", "streat"], "", "") for n in range(4)] + [("1", str(n), ["elm"], "ave", "") for n in range(300)]
+    doors += [("?quibbleton", str(n), ["pine"], "rd", "quibbleton") for n in range(30)] + [("?quibleton", str(n), ["pine"], "rd", "quibleton") for n in range(2)]
+    got = mined(spark, doors)
+    assert got["oakhollow", "oak hollow"] == 5 and got["streat", "street"] == 4 and got["@quibleton", "@quibbleton"] == 2 and len(got) == 3
+    out = rewrite(doors_of(spark, doors), spark.createDataFrame([(*k, 1) for k in got], "old string, new string, support int"))
+    assert {(r.place, tuple(r.name), r.type) for r in out.collect()} == {("1", ("oak", "hollow"), "st"), ("1", ("elm",), "ave"), ("?quibbleton", ("pine",), "rd")}
+
+
+def test_does_not_mine_real_neighbours_or_chance(spark):
+    doors = [("1", str(n), [w], "st", "") for n in range(80) for w in ("mallow", "mellow")] + [("1", "900", ["willow"], "st", "")]
+    assert mined(spark, doors) == {}
+
+
+def test_respells_words_without_company(spark):
+    doors = [("1", str(n), ["viaduct"], "st", "") for n in range(12)] + [("1", str(n), ["mallow"], "st", "") for n in range(12)] + [("1", str(n), ["mellow"], "st", "") for n in range(12)]
+    doors += [("2", "900", ["vidct"], "st", ""), ("2", "901", ["viadukt"], "st", ""), ("2", "902", ["millow"], "st", ""), ("2", "903", ["quay"], "st", "")]
+    assert {(r.old, r.new) for r in respellings(doors_of(spark, doors)).collect()} == {("vidct", "viaduct"), ("viadukt", "viaduct")}
+
+
+def brute_locations(doors):
+    """Locations of whole doors in listed places, by comparing all of one place and number: equal parts, or left out where one fits."""
+    made = {}
+    for d in doors:
+        same = [x for x in doors if x["place"] == d["place"] and x["number"] == d["number"] and x["name"] == d["name"]]
+        for part in ("direction", "type"):
+            d = d if d[part] or len({x[part] for x in same} - {""}) != 1 else {**d, part: ({x[part] for x in same} - {""}).pop()}
+        units = {x["unit"] for x in same}
+        made[d["sig"]] = (d["place"], d["number"], d["name"], d["direction"], d["type"], d["unit"] if d["unit"] or len(units) != 2 else max(units))
+    return made
+
+
+def test_settle_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(40):
+        doors = [{"sig": i, "place": "1", "number": str(rng.randint(1, 3)), "name": (rng.choice("ab"),), "direction": rng.choice(["", "n"]), "type": rng.choice(["", "st"]), "unit": rng.choice(["", "4"]), "urb": "", "state": "", "n": 1} for i in range(9)]
+        want = brute_locations([dict(d) for d in doors])
+        got = {}
+        for number in "123":
+            some = [dict(d) for d in doors if d["number"] == number]
+            settle(some)
+            got |= {d["sig"]: (d["place"], d["number"], d["name"], d["direction"], d["type"], d["unit"]) for d in some}
+        assert got == want
 
 
 def test_same_address_empty(spark):
@@ -335,16 +390,19 @@ def test_parser():
 
 
 def test_settle_keeps_ambiguous_apart():
-    door = lambda **k: {"number": "1", "direction": "", "type": "st", "tail": "street", "unit": "", "urb": "", "town": "", "state": "", "place": "1", "known": set(), "n": 1, "name": ["oak"], **k}
+    door = lambda **k: {"number": "1", "direction": "", "type": "st", "unit": "", "urb": "", "state": "", "place": "1", "n": 1, "name": ["oak"], **k}
     d = [door(direction="n"), door(direction="s"), door()]
     settle(d)
     assert [x["direction"] for x in d] == ["n", "s", ""]
-    d = [door(direction="n"), door(), door(type="", tail="")]
+    d = [door(direction="n"), door(), door(type="")]
     settle(d)
     assert {(x["direction"], x["type"]) for x in d} == {("n", "st")}
     d = [door(unit="1"), door(unit="2"), door()]
     settle(d)
     assert [x["unit"] for x in d] == ["1", "2", ""]
+    d = [door(name=["oak", "trail"]), door(type="trl")]
+    settle(d)
+    assert {(x["name"], x["type"]) for x in d} == {(("oak", "trail"), "st")}
 
 
 # Text types

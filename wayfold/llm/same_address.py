@@ -1,12 +1,17 @@
 """Which address records denote the same location.
 
-Records are parsed into parts.  Token rewrites (abbreviations, slips) are mined from
-records that agree elsewhere: same place, number and other words of the street name,
-one word differing.  A rewrite is kept if the two words resemble each other and their
-meeting is statistically significant (likelihood ratio); words are rewritten and the
-records matched again until no new rewrite appears.  Then streets and units left out
-or spelled in a way met only once are settled among the doors of one place and
-number, and numbers or places left out among all locations, where exactly one fits.
+Records are parsed into parts.  Token rewrites (abbreviations, slips, words written
+together or apart, types and directions taken for words of the name, slips of towns
+that aren't listed) are mined from doors that agree elsewhere: same place, number and
+other words, one word differing.  A rewrite is kept if the two words resemble each
+other and their meeting is statistically significant (likelihood ratio); words are
+rewritten and the doors matched again until no new rewrite appears.  Then words met
+too rarely for significance follow the one they resemble and meet at half of their
+doors, and words that never met another spelling the one far more frequent word like
+them.  From then on names compare equal.  Parts left out are filled in where one door fits, and records
+without number, name or place denote the only location that fits.
+
+All this is done on distinct written doors; a record takes part as the door it writes.
 """
 
 from __future__ import annotations
@@ -18,19 +23,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.postal import STREET_TYPES
+from wayfold.functions.postal import DIRECTIONS, STREET_TYPES
 from wayfold.llm.address_parts import Parser
-from wayfold.llm.places import MOST_ENTRIES, VOWELS, Gazetteer, alike, zip_columns
+from wayfold.llm.places import MOST_ENTRIES, Gazetteer, alike, zip_columns
 from wayfold.runtime import bounded_rows, cut
 
 #: Likelihood ratio above which a rewrite is significant (0.1 % with one degree of freedom).
 SIGNIFICANT = 10.83
-#: A slip of a word that doesn't lead its keys is met at so many times fewer doors.
+#: A slip is met at so many times fewer doors, unless it meets its word at half of its doors.
 FEWER = 4
-#: A word met at so many different doors is an established one.
-ESTABLISHED = 6
 
 PARTS = ("number", "direction", "type", "unit", "urb", "box", "town", "state", "zip")
+TYPE_WORD: dict[str, str] = {}
+for _k, _v in STREET_TYPES.items():
+    TYPE_WORD.setdefault(_v, _k)
+POINT_WORD = {v: k for k, v in DIRECTIONS.items() if len(k) > 2}
 
 
 def parse_records(records: DataFrame, reference: DataFrame) -> DataFrame:
@@ -70,164 +77,202 @@ def all_records(validation: DataFrame, fuzzy: DataFrame) -> DataFrame:
     return v.unionByName(f)
 
 
-def _place() -> Column:
-    return F.when(F.col("city") >= 0, F.col("city").cast("string")).otherwise(F.concat(F.lit("s"), F.col("state")))
+def _map(words: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
 
 
-def mine_rewrites(parsed: DataFrame) -> DataFrame:
-    """New rewrites (``old``, ``new``, ``support``, ``ratio``) of words of street names.
+def written_doors(parsed: DataFrame) -> DataFrame:
+    """One row for each way a door is written: ``sig``, its parts, ``place`` and the number of records ``n``.
 
-    A key is the place, the number and the name with one word left out, the others
-    without their vowels.  Each word is a candidate for every more established one of
-    its key that resembles it; such words share a pair of letters or all their letters,
-    so that only those are compared.  A word's rewrite must hold in half of the keys in
-    which it meets another word, if it leads them, or else a resembling one.
+    A place is a listed one, else the town as typed and its state; '?' without either.
     """
-    slot = F.explode(
-        F.expr("transform(sequence(0, size(name) - 1), i -> struct(name[i] as word, concat_ws(' ', cast(size(name) as string), cast(i as string), array_join(transform(name, (x, j) -> if(i = j, '*', concat(substring(x, 1, 1), regexp_replace(substring(x, 2), '[aeiouy]', '')))), ' ')) as rest))")
+    place = F.when(F.col("city") >= 0, F.col("city").cast("string")).when(F.col("town") != "", F.concat(F.lit("?"), "town")).otherwise("?")
+    keep = ("city", "name", "number", "direction", "type", "unit", "urb", "box", "town", "state")
+    doors = parsed.withColumn("sig", signature()).groupBy("sig").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in keep])
+    return doors.withColumn("place", place)
+
+
+def signature() -> Column:
+    return F.md5(F.concat_ws("|", "city", F.array_join("name", " "), "number", "direction", "type", "unit", "urb", "box", "town", "state").cast("binary"))
+
+
+def _slots(doors: DataFrame) -> DataFrame:
+    """(key, word, n), distinct: each word of a door under what the door is without it, and in how many records.
+
+    The others words of the name stand without their vowels.  Two neighbouring words
+    are also one slot, as they may be written together.  The street type and the
+    direction have slots of their own, in which the last and first word of the name of
+    a door without them stand too, and so has a town that isn't listed, marked by @.
+    """
+    full = doors.where("number <> '' and size(name) > 0 and box = '' and place <> '?'")
+    full = full.withColumns({"_t": F.when(F.col("type") != "calle", _map(TYPE_WORD)[F.col("type")]), "_d": _map(POINT_WORD)[F.col("direction")]})
+    full = full.select("place", "number", "n", "name", "type", "direction", "town", "state", "_t", "_d", F.size("name").alias("k"), F.expr("transform(name, x -> concat(substring(x, 1, 1), regexp_replace(substring(x, 2), '[aeiouy]', '')))").alias("s"))
+    slots = F.expr(
+        """concat(
+        transform(sequence(0, k - 1), i -> struct(place as at, concat_ws(' ', cast(k as string), cast(i as string), array_join(transform(s, (x, j) -> if(i = j, '*', x)), ' ')) as rest, name[i] as word)),
+        if(k > 1, transform(sequence(0, k - 2), i -> struct(place as at, concat_ws(' ', cast(k - 1 as string), cast(i as string), array_join(concat(slice(s, 1, i), array('*'), slice(s, i + 3, k)), ' ')) as rest, concat(name[i], ' ', name[i + 1]) as word)), array()),
+        array(if(_t is not null, struct(place as at, concat('T ', array_join(s, ' ')) as rest, _t as word), if(k > 1 and type = '', struct(place as at, concat('T ', array_join(slice(s, 1, k - 1), ' ')) as rest, name[k - 1] as word), null)),
+              if(_d is not null, struct(place as at, concat('D ', array_join(s, ' ')) as rest, _d as word), if(k > 1 and direction = '', struct(place as at, concat('D ', array_join(slice(s, 2, k), ' ')) as rest, name[0] as word), null)),
+              if(town <> '', struct('' as at, concat('W ', state, ' ', array_join(s, ' ')) as rest, concat('@', town) as word), null)))"""
     )
-    slots = parsed.where("number <> '' and size(name) > 0").select(_place().alias("place"), "number", slot.alias("s"))
-    slots = slots.groupBy("place", "number", F.col("s.rest").alias("rest"), F.col("s.word").alias("word")).count()
-    met = slots.groupBy("word").agg(F.count("*").alias("doors"))
-    slots = slots.join(met, "word")
-    at = ["place", "number", "rest"]
-    key = Window.partitionBy(*at)
-    order = F.struct("doors", "count", "word")
-    led = slots.withColumns({"order": order, "lead": F.max(order).over(key), "others": F.count("*").over(key) - 1}).where("others > 0")
-    rivals = led.groupBy("word").agg(F.count("*").alias("rivals"))
-    grams = "concat(transform(sequence(1, length(word) + 1), i -> substring(concat('^', word, '$'), i, 2)), array(concat('~', array_join(array_sort(split(word, '')), ''))))"
-    one = led.select(*at, "word", "doors", "order", F.explode(F.expr(f"array_distinct({grams})")).alias("gram"))
-    other = one.select(*at, "gram", F.col("word").alias("new"), F.col("doors").alias("new_doors"), F.col("order").alias("new_order"))
-    pairs = one.join(other, [*at, "gram"]).where("order < new_order").select(*at, "word", "new", "doors", "new_doors").distinct()
-    pairs = pairs.join(led.where("order = lead").select(*at, F.col("word").alias("leader")), at)
-    longest = F.greatest(F.length("word"), F.length("new"))
-    near = F.levenshtein("word", "new") <= F.when(longest <= 3, 0).when(longest <= 5, 1).when(longest <= 8, 2).otherwise(3)
-    bare = [F.regexp_replace(c, "[aeiouy]", "") for c in ("word", "new")]
-    short = (F.length("word") >= 3) & (F.substring("word", 1, 1) == F.substring("new", 1, 1)) & ((bare[0] == bare[1]) | (F.col("word") == bare[1]) | F.col("new").startswith(F.col("word")))
-    swapped = F.array_join(F.array_sort(F.split("word", "")), "") == F.array_join(F.array_sort(F.split("new", "")), "")
-    total = float(slots.select("place", "number", "rest").distinct().count())
-    alike_ = pairs.where(near | short | (swapped & (F.levenshtein("word", "new") <= 4)))
-    contested = alike_.groupBy("word").agg(F.count_distinct(*at).alias("contested"))
-    found = alike_.groupBy("word", "new").agg(F.count("*").cast("double").alias("a"), F.count_if(F.col("new") == F.col("leader")).alias("led"), F.max("doors").cast("double").alias("w"), F.max("new_doors").cast("double").alias("l"))
-    found = found.join(contested, "word").join(rivals, "word")
-    found = found.withColumn("n", F.lit(total))
+    each = full.select("number", "n", F.explode(F.filter(slots, lambda x: x.isNotNull())).alias("x"))
+    return each.groupBy(F.xxhash64("x.at", "number", "x.rest").alias("key"), F.col("x.word").alias("word")).agg(F.sum("n").alias("n"))
+
+
+def _plain(word: str) -> Column:
+    return F.translate(word, " @", "")
+
+
+def _grams(plain: str) -> Column:
+    return F.expr(f"array_distinct(concat(transform(sequence(1, length({plain}) + 1), i -> substring(concat('^', {plain}, '$'), i, 2)), array(concat('~', array_join(array_sort(split({plain}, '')), '')))))")
+
+
+def _resembles() -> Column:
+    """Whether ``a`` may be a slip or an abbreviation of ``b``."""
+    longest = F.greatest(F.length("a"), F.length("b"))
+    most = F.when(longest <= 3, 0).when(longest <= 5, 1).when(longest <= 8, 2).otherwise(3)
+    bare = [F.regexp_replace(c, "[aeiouy]", "") for c in ("a", "b")]
+    short = (F.length("a") >= 3) & (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & ((bare[0] == bare[1]) | (F.col("a") == bare[1]) | F.col("b").startswith(F.col("a")))
+    swapped = (F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", ""))) & (F.levenshtein("a", "b") <= 4)
+    return (F.levenshtein("a", "b") <= most) | short | swapped
+
+
+def mine_rewrites(doors: DataFrame) -> DataFrame:
+    """New rewrites (``old``, ``new``, ``support``, ``ratio``) of words, mined from written doors.
+
+    Every word is a candidate for every more established one, met at more doors or at as
+    many in more records, that stands in its place elsewhere at the same key and resembles it, or is the same in
+    two words.  Only words of a key that share a pair of letters, or all letters, are
+    compared.  A rewrite must hold in half of the keys in which its word meets a
+    resembling one, and its word be met FEWER times less, or meet the new one at half of
+    its doors.  Those with a ratio above SIGNIFICANT are mined; the others, of words met
+    too rarely to tell, are only worth trying when no more are found.
+    """
+    slots = _slots(doors).persist()  # what is read twice is kept; rebuilt where an executor is lost
+    met = slots.groupBy("word").agg(F.count("*").alias("doors"), F.sum("n").alias("records"))
+    total = slots.agg(F.count("*").cast("double")).scalar()
+    key = Window.partitionBy("key")
+    many = slots.join(met, "word").withColumns({"others": F.count("*").over(key)}).where("others > 1")
+    many = many.select("key", "word", "doors", "records", _plain("word").alias("a")).withColumn("grams", _grams("a")).persist()
+    one = many.where("not contains(word, ' ')").where(~F.col("word").isin([*STREET_TYPES, *DIRECTIONS]))
+    one = one.select("key", "word", "doors", "records", "a", "grams", F.explode("grams").alias("gram"))
+    two = many.where("records > 1 or contains(word, ' ')")
+    two = two.select("key", F.col("word").alias("new"), F.col("doors").alias("new_doors"), F.col("records").alias("new_records"), F.col("a").alias("b"), F.col("grams").alias("b_grams"), F.explode("grams").alias("gram"))
+    more = (F.col("new_doors") > F.col("doors")) | ((F.col("new_doors") == F.col("doors")) & (F.col("new_records") > F.col("records"))) | ((F.col("a") == F.col("b")) & (F.col("word") != F.col("new")))
+    same_kind = F.startswith("word", F.lit("@")) == F.startswith("new", F.lit("@"))
+    first = F.get(F.array_intersect("grams", "b_grams"), F.lit(0)) == F.col("gram")  # each pair once
+    pairs = one.join(two, ["key", "gram"]).where(more & same_kind).where(first).where(_resembles())
+    pairs = pairs.select("key", "word", "new", "doors", "new_doors").persist()
+    found = pairs.groupBy("word", "new").agg(F.count("*").cast("double").alias("a"), F.max("doors").cast("double").alias("w"), F.max("new_doors").cast("double").alias("l"))
+    contested = pairs.groupBy("word").agg(F.count_distinct("key").alias("contested"))
+    found = found.join(contested, "word").withColumn("n", total)
     b, c = F.greatest(F.col("w") - F.col("a"), F.lit(0.0)), F.greatest(F.col("l") - F.col("a"), F.lit(0.0))
     d = F.greatest(F.col("n") - F.col("w") - F.col("l") + F.col("a"), F.lit(1.0))
 
     def g(o: Column, x: Column, y: Column) -> Column:
         return F.when(o > 0, o * F.log(o * F.col("n") / (x * y))).otherwise(0.0)
 
-    held = (F.col("led") * 2 >= F.col("rivals")) | (F.col("a") * 2 >= F.col("contested")) & (F.col("l") >= FEWER * F.col("w"))
     ratio = 2 * (g(F.col("a"), F.col("w"), F.col("l")) + g(b, F.col("w"), F.col("n") - F.col("l")) + g(c, F.col("n") - F.col("w"), F.col("l")) + g(d, F.col("n") - F.col("w"), F.col("n") - F.col("l")))
-    found = found.withColumn("ratio", ratio).where((F.col("ratio") > SIGNIFICANT) & (F.col("l") > F.col("w")) & held)
-    best = Window.partitionBy("word").orderBy(F.desc("a"), F.desc("l"), "new")
-    return found.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("word").alias("old"), "new", F.col("a").cast("bigint").alias("support"), "ratio")
-
-
-def rewrite(parsed: DataFrame, rewrites: DataFrame) -> DataFrame:
-    """Replace words of street names by their rewrites."""
-    words = parsed.select("id", F.posexplode("name").alias("i", "w"))
-    words = words.join(rewrites.select("old", "new"), words["w"] == F.col("old"), "left")
-    names = words.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("new", "w").alias("w")))).alias("ws"))
-    names = names.select("id", F.expr("transform(ws, x -> x.w)").alias("new_name"))
-    return parsed.join(names, "id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
-
-
-def _similar_names(a: list[str], b: list[str], known: dict[str, bool]) -> bool:
-    """Whether two street names are spellings of one."""
-    if a == b or "".join(a) == "".join(b):
-        return True
-    if len(a) == len(b):
-        for x, y in zip(a, b):
-            if x == y:
-                continue
-            if known.get(x) and known.get(y) and VOWELS.sub("", x) != VOWELS.sub("", y):
-                return False
-            if alike(x, y) < 0.6:
-                return False
-        return alike("".join(a), "".join(b)) >= 0.7
-    return alike("".join(a), "".join(b)) >= 0.85 or VOWELS.sub("", "".join(a)) == VOWELS.sub("", "".join(b)) != ""
+    held = (F.col("a") * 2 >= F.col("contested")) & ((F.col("l") >= FEWER * F.col("w")) | (F.col("a") * 2 >= F.col("w")))
+    found = found.withColumn("ratio", ratio).withColumn("sure", F.col("ratio") > SIGNIFICANT).where(held & (F.col("sure") | (F.col("a") * 2 >= F.col("w"))))
+    best = F.max_by(F.struct("new", "a", "ratio"), F.struct("sure", "a", "l", "new"))
+    found = cut(found.groupBy("word").agg(best.alias("r")).select(F.col("word").alias("old"), "r.new", F.col("r.a").cast("bigint").alias("support"), "r.ratio"))
+    for kept in (pairs, many, slots):
+        kept.unpersist()
+    return found
 
 
-def settle(doors: list[dict]) -> None:
-    """Settle doors of one place and number: fills ``name``, ``direction``, ``type``,
-    ``urb``, ``unit`` and ``town`` of each in place.  A door has a weight ``n``.
+def respellings(doors: DataFrame) -> DataFrame:
+    """(old, new) of words that no key shows beside another spelling of theirs.
+
+    The one word within two edits, one in words of up to five letters, or the same but
+    for its vowels, that is met at FEWER times as many doors; of several the nearest, if
+    it is the only one.
     """
-    known: dict[str, bool] = {}
-    for d in doors:
-        known.update({w: w in d["known"] for w in d["name"]})
-    # Spellings of one name; the weightiest with established words leads.
-    weight: Counter = Counter()
-    for d in doors:
-        if d["place"] != "?":  # the place is settled, whatever was typed as the state
-            d["town"] = d["state"] = ""
-        weight[tuple(d["name"]), d["town"], d["state"]] += d["n"]
-    leaders: list[tuple] = []
-    of: dict[tuple, int] = {}
-    order = sorted(weight, key=lambda k: (k[1] == "", -sum(known.get(w, False) for w in k[0]), -weight[k], k))
-    for k in order:
-        hit = None
-        for i, lead in enumerate(leaders):
-            if k[2] and lead[2] and k[2] != lead[2]:
-                continue
-            if k[1] and lead[1] and k[1] != lead[1] and alike(k[1], lead[1]) < 0.65:
-                continue
-            if _similar_names(list(k[0]), list(lead[0]), known):
-                hit = i
-                break
-        if hit is None:
-            leaders.append(k)
-            hit = len(leaders) - 1
-        of[k] = hit
-    # A name that swallowed its street type as the last word, or the reverse.
-    joined = {"".join(k[0]): i for i, k in reversed(list(enumerate(leaders)))}
-    for d in doors:
-        i = of[tuple(d["name"]), d["town"], d["state"]]
-        if d["tail"]:
-            spelled = "".join(d["name"]) + d["tail"]
-            j = joined.get(spelled)
-            if j is None:
-                j = next((j for name, j in joined.items() if name.endswith(d["tail"]) and alike(spelled, name) >= 0.85), None)
-            if j is not None and j != i:
-                i = j
-                d["type"] = ""
-        d["name"], d["town"] = list(leaders[i][0]), leaders[i][1]
-        d["state"] = leaders[i][2] or d["state"]
-        d["street"] = i
-    streets: dict[int, list[dict]] = defaultdict(list)
-    for d in doors:
-        streets[d["street"]].append(d)
-    for same in streets.values():
-        state = Counter(d["state"] for d in same if d["state"])
-        for d in same:
-            d["state"] = state.most_common(1)[0][0] if state else ""
-        _fill(same)
+    words = doors.where("number <> ''").select("place", "number", F.explode(F.concat("name", F.when(F.col("town") != "", F.array(F.concat(F.lit("@"), "town"))).otherwise(F.array()))).alias("word"))
+    met = words.distinct().groupBy("word").agg(F.count("*").alias("doors"))
+    told = doors.where("number = '' or place = '?'").select(F.explode("name").alias("word")).distinct()
+    met = met.join(told, "word", "full").select("word", F.coalesce("doors", F.lit(0)).alias("doors"), _plain("word").alias("a"))
+    one = met.where(~F.col("word").isin([*STREET_TYPES, *DIRECTIONS]) & (F.length("a") >= 4)).withColumn("grams", _grams("a"))
+    one = one.select("word", "doors", "a", "grams", F.explode("grams").alias("gram"))
+    two = met.where(F.col("doors") >= FEWER).withColumn("_g", _grams("a"))
+    two = two.select(F.col("word").alias("new"), F.col("doors").alias("new_doors"), F.col("a").alias("b"), F.col("_g").alias("b_grams"), F.explode("_g").alias("gram"))
+    most = F.when(F.length("a") > 5, 2).otherwise(1)
+    same_kind = F.startswith("word", F.lit("@")) == F.startswith("new", F.lit("@"))
+    first = F.get(F.array_intersect("grams", "b_grams"), F.lit(0)) == F.col("gram")
+    far = (F.col("new_doors") >= FEWER * F.col("doors")) & (F.col("word") != F.col("new")) & (F.abs(F.length("a") - F.length("b")) <= 4)
+    bare = [F.regexp_replace(c, "[aeiouy]", "") for c in ("a", "b")]
+    vowels = (bare[0] == bare[1]) & (F.length(bare[0]) >= 3) & (F.substring("a", 1, 1) == F.substring("b", 1, 1))
+    d = F.levenshtein("a", "b")
+    near = one.join(two, "gram").where(far & same_kind & first).withColumn("d", F.when(d <= 1, d).when(vowels, 1).when(d <= most, d)).where("d is not null")
+    best = near.groupBy("word").agg(F.min(F.struct("d", "new")).alias("m"), F.sort_array(F.collect_list("d")).alias("ds"))
+    only = F.coalesce(F.get("ds", F.lit(1)) > F.get("ds", F.lit(0)), F.lit(True))
+    return best.where(only).select(F.col("word").alias("old"), F.col("m.new").alias("new"))
+
+
+def rewrite(doors: DataFrame, rewrites: DataFrame) -> DataFrame:
+    """Replace words of street names, and towns that aren't listed, by their rewrites.
+
+    Only names with a word to be replaced are taken apart and put together again.  A
+    last word that is a street type by now, or a first one that is a direction, becomes it.
+    """
+    names = doors.select("name").distinct()
+    words = names.select("name", F.posexplode("name").alias("i", "old"))
+    hit = words.join(rewrites.select("old", "new"), "old").groupBy("name").agg(F.collect_list(F.struct("i", "new")).alias("hits"))
+    at = F.map_from_entries("hits")
+    to = F.flatten(F.transform("name", lambda x, i: F.split(F.coalesce(at[i], x), " ")))
+    hit = hit.select("name", to.alias("new_name"))
+    out = doors.join(hit, "name", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
+    towns = rewrites.where("startswith(old, '@')").select(F.substring("old", 2, 1_000_000).alias("town"), F.substring("new", 2, 1_000_000).alias("new_town"))
+    out = out.join(towns, "town", "left").withColumn("town", F.coalesce("new_town", "town")).drop("new_town")
+    out = out.withColumn("place", F.when(F.startswith("place", F.lit("?")) & (F.col("town") != ""), F.concat(F.lit("?"), "town")).otherwise(F.col("place")))
+    last, lead = _map(STREET_TYPES)[F.element_at("name", -1)], _map(DIRECTIONS)[F.get("name", F.lit(0))]
+    street = (F.size("name") > 1) & (F.col("box") == "")
+    out = out.withColumns({"_t": F.when(street & (F.col("type") == ""), last)})
+    out = out.withColumns({"type": F.coalesce("_t", "type"), "name": F.when(F.col("_t").isNotNull(), F.slice("name", 1, F.size("name") - 1)).otherwise(F.col("name"))})
+    out = out.withColumns({"_d": F.when((F.size("name") > 1) & (F.col("box") == "") & (F.col("direction") == ""), lead)})
+    return out.withColumns({"direction": F.coalesce("_d", "direction"), "name": F.when(F.col("_d").isNotNull(), F.slice("name", 2, F.size("name"))).otherwise(F.col("name"))}).drop("_t", "_d")
 
 
 def _fits(a: tuple, b: tuple) -> bool:
     return all(x == y or not x or not y for x, y in zip(a, b))
 
 
+def settle(doors: list[dict]) -> None:
+    """Fill in what doors of one place and number leave out, in place: ``direction``,
+    ``type``, ``urb``, ``state`` (of a town that isn't listed) and ``unit``.
+    """
+    names = {tuple(d["name"]) for d in doors}
+    streets: dict[tuple, list[dict]] = defaultdict(list)
+    for d in doors:
+        d["name"] = tuple(d["name"])
+        swallowed = (*d["name"], TYPE_WORD.get(d["type"], ""))
+        if swallowed in names:  # what was taken for the type is the last word of the name
+            d["name"], d["type"] = swallowed, ""
+        streets[d["name"]].append(d)
+    for same in streets.values():
+        _fill(same)
+
+
 def _fill(doors: list[dict]) -> None:
-    """Direction, type, urbanization and unit that some doors of one street name leave out."""
-    combo = lambda d: (d["direction"], d["type"], d["urb"])
-    urbs = Counter()
+    """Parts that some doors of one street name leave out."""
+    combo = lambda d: (d["direction"], d["type"], d["urb"], d["state"])
+    urbs: Counter = Counter()
     for d in doors:
         urbs[d["urb"]] += d["n"]
     lead: list[str] = []
+    to: dict[str, str] = {}
     for u, _ in urbs.most_common():
-        same = next((x for x in lead if u and alike(u, x) >= 0.7), None)
-        if same is None:
+        to[u] = next((x for x in lead if u and x and alike(u, x) >= 0.7), u)
+        if to[u] == u:
             lead.append(u)
-        elif same != u:
-            for d in doors:
-                if d["urb"] == u:
-                    d["urb"] = same
+    for d in doors:
+        d["urb"] = to[d["urb"]]
     combos = {combo(d) for d in doors}
     if all(_fits(a, b) for a in combos for b in combos):
         whole = tuple(max(x) for x in zip(*combos))
         for d in doors:
-            d["direction"], d["type"], d["urb"] = whole
+            d["direction"], d["type"], d["urb"], d["state"] = whole
     else:
         above = {c: [x for x in combos if x != c and _fits(c, x) and sum(map(bool, x)) > sum(map(bool, c))] for c in combos}
         units = defaultdict(set)
@@ -242,7 +287,7 @@ def _fill(doors: list[dict]) -> None:
                 d["to"] = top[0]
         for d in doors:
             if "to" in d:
-                d["direction"], d["type"], d["urb"] = d.pop("to")
+                d["direction"], d["type"], d["urb"], d["state"] = d.pop("to")
     by: dict[tuple, list[dict]] = defaultdict(list)
     for d in doors:
         by[combo(d)].append(d)
@@ -253,16 +298,16 @@ def _fill(doors: list[dict]) -> None:
                 d["unit"] = max(units)
 
 
-def _location(d: dict, place: str) -> str:
-    where = place if place != "?" else f"{d['town']}/{d['state']}"
+def _location(d: dict) -> str:
+    where = d["place"] if not d["place"].startswith("?") else f"{d['place'][1:]}/{d['state']}"
     return "|".join((where, d["number"], d["direction"], " ".join(d["name"]), d["type"], d["unit"], d["urb"]))
 
 
-def settle_doors(parsed: DataFrame) -> DataFrame:
-    """(sig, place, location) of every distinct door with a number.
+def settle_doors(doors: DataFrame) -> DataFrame:
+    """(sig, location) of every written door with a number, a name and a place.
 
-    Doors of one place and number meet in one group, once for each way they are
-    written and however many records write them so.
+    Doors of one place, number and first word of the name meet in one group, once for
+    each way they are written and however many records write them so.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,17 +316,16 @@ def settle_doors(parsed: DataFrame) -> DataFrame:
 
         def close() -> pd.DataFrame:
             settle(held)
-            return pd.DataFrame([(d["sig"], d["place"], d["town"], _location(d, d["place"])) for d in held], columns=["sig", "place", "town", "location"])
+            return pd.DataFrame([(d["sig"], _location(d)) for d in held], columns=["sig", "location"])
 
         made = []
         for b in batches:
             for d in b.to_dict("records"):
-                key = (d["place"], d["number"])
+                key = (d["place"], d["number"], d["lead"])
                 if key != now and held:
                     made.append(close())
                     held = []
                 now = key
-                d["name"], d["known"] = list(d["name"]), set(d["known"])
                 held.append(d)
             if made:
                 yield pd.concat(made)
@@ -289,9 +333,10 @@ def settle_doors(parsed: DataFrame) -> DataFrame:
         if held:
             yield close()
 
-    doors = parsed.select("sig", "place", "number", "direction", "type", "tail", "unit", "urb", "town", "state", "name", "known", "n")
-    doors = doors.repartition("place", "number").sortWithinPartitions("place", "number", "sig")
-    return doors.mapInPandas(run, "sig string, place string, town string, location string")
+    listed = F.when(F.startswith("place", F.lit("?")), F.col("state")).otherwise("")  # of a listed place the state is settled
+    doors = doors.select("sig", "place", "number", "direction", "type", "unit", "urb", listed.alias("state"), "name", "n", F.get("name", F.lit(0)).alias("lead"))
+    doors = doors.repartition("place", "number", "lead").sortWithinPartitions("place", "number", "lead", "sig")
+    return doors.mapInPandas(run, "sig string, location string")
 
 
 def settle_boxes(boxes: list[dict]) -> None:
@@ -323,7 +368,7 @@ def settle_boxes(boxes: list[dict]) -> None:
 
 
 def _settled_boxes(boxes: DataFrame) -> DataFrame:
-    """(id, place, town, location, sure) of every record of a PO box; a listed place is settled as it is."""
+    """(sig, place, town, location, sure) of every written PO box; a listed place is settled as it is."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         found = b.to_dict("records")
@@ -332,76 +377,47 @@ def _settled_boxes(boxes: DataFrame) -> DataFrame:
         settle_boxes(found)
         return pd.DataFrame([(d["box"], d["town_was"], d["state_was"], d["town"], d["state"], d["sure"]) for d in found], columns=["box", "town", "state", "s_town", "s_state", "sure"])
 
-    free = boxes.where("place = '?' and town <> ''").groupBy("box", "town", "state").agg(F.count("*").alias("n"))
+    free = boxes.where("startswith(place, '?') and town <> ''").groupBy("box", "town", "state").agg(F.sum("n").alias("n"))
     to = free.groupBy("box").applyInPandas(run, "box string, town string, state string, s_town string, s_state string, sure boolean")
     where = F.concat_ws("/", F.lit("?"), F.coalesce("s_town", "town"), F.coalesce("s_state", "state"))
-    location = F.concat_ws("|", F.when(F.col("place") == "?", where).otherwise(F.col("place")), F.lit("po"), "box")
-    return boxes.join(to, ["box", "town", "state"], "left").select("id", "place", "town", location.alias("location"), F.coalesce("sure", F.lit(True)).alias("sure"))
+    location = F.concat_ws("|", F.when(F.startswith("place", F.lit("?")), where).otherwise(F.col("place")), F.lit("po"), "box")
+    return boxes.join(to, ["box", "town", "state"], "left").select("sig", "place", "town", location.alias("location"), F.coalesce("sure", F.lit(True)).alias("sure"))
 
 
 def locations(records: DataFrame, reference: DataFrame) -> DataFrame:
     """(id, location) of every record that denotes a location."""
     parsed = cut(parse_records(records, reference))
-    # Every round does away with at least one word, so it ends.
-    while not (new := cut(mine_rewrites(parsed))).isEmpty():
-        parsed = cut(rewrite(parsed, new))
-    words = parsed.where("number <> ''").select(_place().alias("p"), "number", F.explode("name").alias("w")).distinct()
-    words = cut(words.groupBy("w").count().where(F.col("count") >= ESTABLISHED).select("w"))
-    tagged = parsed.select("id", F.explode_outer("name").alias("w")).join(words.withColumn("k", F.col("w")), "w", "left")
-    tagged = tagged.groupBy("id").agg(F.sort_array(F.collect_set("k")).alias("known"))
-    parts = ("number", "direction", "type", "unit", "urb", "box", "town", "state")
-    place = F.when(F.col("city") >= 0, F.col("city").cast("string")).otherwise("?")
-    parsed = parsed.join(tagged, "id").withColumn("place", place)
-    parsed = parsed.withColumn("tail", F.when(F.col("type") == "calle", "").otherwise(F.coalesce(_full_type()[F.col("type")], F.lit(""))))
-    parsed = parsed.withColumn("sig", F.concat_ws("|", "place", F.array_join("name", " "), *parts))
-    parsed = cut(parsed)
-    boxes = cut(_settled_boxes(parsed.where("box <> ''")))
-    doors = parsed.where("box = '' and number <> '' and size(name) > 0")
-    written = doors.groupBy("sig").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("place", "number", "direction", "type", "tail", "unit", "urb", "town", "state", "name", "known")])
-    settled = settle_doors(written)
-    nowhere = (F.col("place") == "?") & (F.col("s_town") == "")
-    known = cut(doors.alias("d").join(settled.select("sig", F.col("town").alias("s_town"), "location").alias("s"), "sig"))
-    sure = known.where(~nowhere).select("id", "location")
-    no_place = (F.col("place") == "?") & (F.col("town") == "")
-    left = known.where(nowhere).drop("s_town", "location").unionByName(parsed.where("box = '' and (number = '' or size(name) = 0)"), allowMissingColumns=True)
-    left = _respell(left, words).unionByName(parsed.where("box <> ''").where(no_place), allowMissingColumns=True)
-    there = sure.select("location").unionByName(boxes.where(~no_place).where("sure").select("location")).distinct()
-    sure = sure.unionByName(boxes.where(~no_place).select("id", "location"))
-    lost = cut(_only_fit(cut(left), there, reference))
-    alone = known.where(nowhere).select("id", "location").unionByName(boxes.where(no_place).select("id", "location"))
-    return sure.unionByName(lost).unionByName(alone.join(lost.select("id"), "id", "left_anti"))
-
-
-def _full_type() -> Column:
-    full: dict[str, str] = {}
-    for k, v in STREET_TYPES.items():
-        full.setdefault(v, k)
-    return F.create_map(*[F.lit(x) for kv in full.items() for x in kv])
-
-
-def _respell(left: DataFrame, established: DataFrame) -> DataFrame:
-    """Words of few records brought to the one established word within two edits."""
-    pairs = "transform(sequence(1, length(w) + 1), i -> substring(concat('^', w, '$'), i, 2))"
-    odd = left.select(F.explode("name").alias("w")).distinct().join(established, "w", "left_anti").where("length(w) >= 4")
-    a = odd.select(F.col("w").alias("old"), F.explode(F.expr(f"array_distinct({pairs})")).alias("p"))
-    b = established.select(F.col("w").alias("new"), F.explode(F.expr(f"array_distinct({pairs})")).alias("p"))
-    near = a.join(b, "p").groupBy("old", "new").count().where("abs(length(old) - length(new)) <= 2 and levenshtein(old, new) <= if(length(old) > 5, 2, 1)")
-    near = near.withColumn("d", F.levenshtein("old", "new"))
-    best = near.groupBy("old").agg(F.min("d").alias("m")).join(near, "old").where("d = m").groupBy("old").agg(F.min("new").alias("new"), F.count("*").alias("c"))
-    return rewrite(left, best.where("c = 1").select("old", "new"))
+    doors = cut(written_doors(parsed))
+    # Every round does away with a word or parts one in two, so it ends.
+    while not (new := (found := mine_rewrites(doors)).where(F.col("ratio") > SIGNIFICANT)).isEmpty():
+        doors = cut(rewrite(doors, new))
+    doors = cut(rewrite(doors, found))
+    doors = cut(rewrite(doors, respellings(doors)))
+    nowhere = (F.col("place") == "?") & (F.col("town") == "")
+    whole = (F.col("box") == "") & (F.col("number") != "") & (F.size("name") > 0)
+    boxes = cut(_settled_boxes(doors.where("box <> ''")))
+    sure = cut(settle_doors(doors.where(whole & ~nowhere)).unionByName(boxes.where(~nowhere).select("sig", "location")))
+    unsure = boxes.where("not sure").select("location").distinct()
+    there = sure.select("location").distinct().join(unsure, "location", "left_anti")
+    left = doors.where((whole | (F.col("box") != "")) & nowhere | ~whole & (F.col("box") == ""))
+    lost = cut(_only_fit(left, there, reference))
+    at = F.concat_ws("|", F.concat(F.lit("?/"), "state"), F.when(F.col("box") != "", F.concat_ws("|", F.lit("po"), "box")).otherwise(F.concat_ws("|", "number", "direction", F.array_join("name", " "), "type", "unit", "urb")))
+    alone = doors.where((whole | (F.col("box") != "")) & nowhere).select("sig", at.alias("location")).join(lost.select("sig"), "sig", "left_anti")
+    known = sure.unionByName(lost).unionByName(alone)
+    return parsed.select("id", signature().alias("sig")).join(known, "sig").select("id", "location")
 
 
 _OPTIONS = ("place", "number", "direction", "name", "type", "unit", "urb", "box", "state")
 
 
 def _only_fit(left: DataFrame, there: DataFrame, reference: DataFrame) -> DataFrame:
-    """(id, location) of records that leave out number, name or place, and that exactly one location fits.
+    """(sig, location) of doors that leave out number, name or place, and that exactly one location fits.
 
-    Every location is counted under each key of a subset of its parts that some record
-    has; a record looks up the key of all parts it has.  The cost is one key a location
-    and subset in use, whatever shares a key.  A record that names a street is looked up
-    without its state and unlisted town; one without street takes both into account, and a
-    location whose state isn't known fits any.
+    A door looks up the key of all parts it has, by a mask of them; locations are counted
+    under the keys that are looked up, found by a semi join before anything is shuffled
+    or kept.  A door that names a street is looked up without its state and unlisted
+    town; one without street takes both into account, and a location whose state isn't
+    known fits any.
     """
     at = F.split("location", r"\|")
     part = lambda i: F.coalesce(F.get(at, F.lit(i)), F.lit(""))
@@ -414,24 +430,25 @@ def _only_fit(left: DataFrame, there: DataFrame, reference: DataFrame) -> DataFr
 
     def key(state: Column) -> Column:
         has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
-        return F.concat_ws("|", F.col("mask").cast("string"), *[F.when(has(i), state if c == "state" else F.col(c)).otherwise(F.lit("*")) for i, c in enumerate(_OPTIONS)])
+        return F.xxhash64("mask", *[F.when(has(i), state if c == "state" else F.col(c)).otherwise(F.lit("*")) for i, c in enumerate(_OPTIONS)])
 
     street = F.size("name") > 0
-    place = F.when((F.col("place") == "?") & ~street, F.col("town")).otherwise(F.col("place"))
-    listed_place = F.col("city") >= 0
-    state = F.when(listed_place | street & (F.col("box") == ""), "").otherwise(F.lower(F.coalesce("state", F.lit(""))))
+    place = F.when(F.col("city") >= 0, F.col("place")).when(~street | (F.col("box") != ""), F.col("town")).otherwise("")
+    state = F.when((F.col("city") >= 0) | street & (F.col("box") == ""), "").otherwise(F.lower(F.coalesce("state", F.lit(""))))
     asks = left.withColumns({"place": place, "state": state, "name": F.when(F.col("box") == "", F.array_join("name", " ")).otherwise("")})
     for c in ("number", "direction", "type", "unit", "urb"):  # a box is told by its number alone
         asks = asks.withColumn(c, F.when(F.col("box") == "", F.col(c)).otherwise(""))
-    mask = sum((F.when((F.col(c) != "") & (F.col(c) != "?"), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(_OPTIONS)), F.lit(0))
+    mask = sum((F.when(F.col(c) != "", F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(_OPTIONS)), F.lit(0))
     told = F.concat("name", "number", "unit", "urb", "box")
     asks = asks.where(told != "").withColumn("mask", mask)
-    asks = asks.withColumn("key", F.explode(F.array_distinct(F.array(key(F.col("state")), key(F.lit(""))))))
+    asks = asks.select("sig", "mask", F.explode(F.array_distinct(F.array(key(F.col("state")), key(F.lit(""))))).alias("key"))
+    asks = cut(asks)
     masks = [r["mask"] for r in asks.select("mask").distinct().collect()]  # at most one for each subset of the parts
     made = locs.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")) if masks else locs.withColumn("mask", F.lit(0)).limit(0)
-    fits = made.withColumn("key", key(F.col("state"))).groupBy("key").agg(F.count("*").alias("c"), F.min("location").alias("location"))
-    only = asks.select("id", "key").join(fits, "key").groupBy("id").agg(F.sum("c").alias("c"), F.min("location").alias("location"))
-    return only.where("c = 1").select("id", "location")
+    made = made.select(key(F.col("state")).alias("key"), "location").join(asks.select("key").distinct(), "key", "left_semi")
+    fits = made.groupBy("key").agg(F.count("*").alias("c"), F.min("location").alias("location"))
+    only = asks.select("sig", "key").join(fits, "key").groupBy("sig").agg(F.sum("c").alias("c"), F.min("location").alias("location"))
+    return only.where("c = 1").select("sig", "location")
 
 
 def same_address_pairs(validation: DataFrame, fuzzy: DataFrame, reference: DataFrame) -> DataFrame:
