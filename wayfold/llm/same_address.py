@@ -150,10 +150,12 @@ def mine_rewrites(doors: DataFrame) -> DataFrame:
     """
     slots = _slots(doors).persist()  # what is read twice is kept; rebuilt where an executor is lost
     met = slots.groupBy("word").agg(F.count("*").alias("doors"), F.sum("n").alias("records"))
-    total = slots.agg(F.count("*").cast("double")).scalar()
     key = Window.partitionBy("key")
     many = slots.join(met, "word").withColumns({"others": F.count("*").over(key)}).where("others > 1")
-    many = many.select("key", "word", "doors", "records", _plain("word").alias("a")).withColumn("grams", _grams("a")).persist()
+    many = cut(many.select("key", "word", "doors", "records", _plain("word").alias("a")))
+    total = float(slots.count())
+    slots.unpersist()
+    many = many.withColumn("grams", _grams("a"))
     one = many.where("not contains(word, ' ')").where(~F.col("word").isin([*STREET_TYPES, *DIRECTIONS]))
     one = one.select("key", "word", "doors", "records", "a", "grams", F.explode("grams").alias("gram"))
     two = many.where("records > 1 or contains(word, ' ')")
@@ -162,10 +164,10 @@ def mine_rewrites(doors: DataFrame) -> DataFrame:
     same_kind = F.startswith("word", F.lit("@")) == F.startswith("new", F.lit("@"))
     first = F.get(F.array_intersect("grams", "b_grams"), F.lit(0)) == F.col("gram")  # each pair once
     pairs = one.join(two, ["key", "gram"]).where(more & same_kind).where(first).where(_resembles())
-    pairs = pairs.select("key", "word", "new", "doors", "new_doors").persist()
+    pairs = cut(pairs.select("key", "word", "new", "doors", "new_doors"))
     found = pairs.groupBy("word", "new").agg(F.count("*").cast("double").alias("a"), F.max("doors").cast("double").alias("w"), F.max("new_doors").cast("double").alias("l"))
     contested = pairs.groupBy("word").agg(F.count_distinct("key").alias("contested"))
-    found = found.join(contested, "word").withColumn("n", total)
+    found = found.join(contested, "word").withColumn("n", F.lit(total))
     b, c = F.greatest(F.col("w") - F.col("a"), F.lit(0.0)), F.greatest(F.col("l") - F.col("a"), F.lit(0.0))
     d = F.greatest(F.col("n") - F.col("w") - F.col("l") + F.col("a"), F.lit(1.0))
 
@@ -176,10 +178,7 @@ def mine_rewrites(doors: DataFrame) -> DataFrame:
     held = (F.col("a") * 2 >= F.col("contested")) & ((F.col("l") >= FEWER * F.col("w")) | (F.col("a") * 2 >= F.col("w")))
     found = found.withColumn("ratio", ratio).withColumn("sure", F.col("ratio") > SIGNIFICANT).where(held & (F.col("sure") | (F.col("a") * 2 >= F.col("w"))))
     best = F.max_by(F.struct("new", "a", "ratio"), F.struct("sure", "a", "l", "new"))
-    found = cut(found.groupBy("word").agg(best.alias("r")).select(F.col("word").alias("old"), "r.new", F.col("r.a").cast("bigint").alias("support"), "r.ratio"))
-    for kept in (pairs, many, slots):
-        kept.unpersist()
-    return found
+    return cut(found.groupBy("word").agg(best.alias("r")).select(F.col("word").alias("old"), "r.new", F.col("r.a").cast("bigint").alias("support"), "r.ratio"))
 
 
 def respellings(doors: DataFrame) -> DataFrame:
@@ -222,16 +221,18 @@ def rewrite(doors: DataFrame, rewrites: DataFrame) -> DataFrame:
     at = F.map_from_entries("hits")
     to = F.flatten(F.transform("name", lambda x, i: F.split(F.coalesce(at[i], x), " ")))
     hit = hit.select("name", to.alias("new_name"))
-    out = doors.join(hit, "name", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
+    hit = hit.withColumns({"_last": _map(STREET_TYPES)[F.element_at("new_name", -1)], "_lead": _map(DIRECTIONS)[F.get("new_name", F.lit(0))], "_k": F.size("new_name")})
+    out = doors.join(hit, "name", "left")
+    street = (F.col("box") == "") & F.col("_k").isNotNull()
+    tail = street & (F.col("type") == "") & F.col("_last").isNotNull() & (F.col("_k") > 1)
+    head = street & (F.col("direction") == "") & F.col("_lead").isNotNull() & (F.col("_k") > 1 + tail.cast("int"))
+    left = F.slice("new_name", F.lit(1) + head.cast("int"), F.col("_k") - head.cast("int") - tail.cast("int"))
+    out = out.withColumns({"type": F.when(tail, F.col("_last")).otherwise(F.col("type")), "direction": F.when(head, F.col("_lead")).otherwise(F.col("direction")), "name": F.coalesce(left, "name")})
+    out = out.drop("new_name", "_last", "_lead", "_k")
     towns = rewrites.where("startswith(old, '@')").select(F.substring("old", 2, 1_000_000).alias("town"), F.substring("new", 2, 1_000_000).alias("new_town"))
     out = out.join(towns, "town", "left").withColumn("town", F.coalesce("new_town", "town")).drop("new_town")
     out = out.withColumn("place", F.when(F.startswith("place", F.lit("?")) & (F.col("town") != ""), F.concat(F.lit("?"), "town")).otherwise(F.col("place")))
-    last, lead = _map(STREET_TYPES)[F.element_at("name", -1)], _map(DIRECTIONS)[F.get("name", F.lit(0))]
-    street = (F.size("name") > 1) & (F.col("box") == "")
-    out = out.withColumns({"_t": F.when(street & (F.col("type") == ""), last)})
-    out = out.withColumns({"type": F.coalesce("_t", "type"), "name": F.when(F.col("_t").isNotNull(), F.slice("name", 1, F.size("name") - 1)).otherwise(F.col("name"))})
-    out = out.withColumns({"_d": F.when((F.size("name") > 1) & (F.col("box") == "") & (F.col("direction") == ""), lead)})
-    return out.withColumns({"direction": F.coalesce("_d", "direction"), "name": F.when(F.col("_d").isNotNull(), F.slice("name", 2, F.size("name"))).otherwise(F.col("name"))}).drop("_t", "_d")
+    return out
 
 
 def _fits(a: tuple, b: tuple) -> bool:
