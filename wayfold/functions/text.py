@@ -13,7 +13,7 @@ PII = {
     "credit_card": r"\b(?:\d{4}[-\s]?){3}\d{4}\b",
     "bank_account": r"\b\d{8,17}\b",
     "phone": r"\b(?:\+1[-\s]?)?\(?\d{3}\)?[-\s]?\d{3}[-\s]?\d{4}\b",
-    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
 }
 REFUSED = (
     ("pii", r"\b(ssn|social\s*security(\s+number)?)\b"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.names import STATES
 from wayfold.functions.postal import DIRECTIONS, MARKED, PLAIN, SLIPS, STREET_TYPES, city_form, line_form
 from wayfold.functions.text import SOUNDS, levenshtein_similarity
+from wayfold.runtime import bounded_rows
 
 # Weights and thresholds of the similarity of two addresses.
 WEIGHTS = {"number": 0.25, "name": 0.30, "zip": 0.20, "city": 0.10, "state": 0.10, "urbanization": 0.15}
@@ -179,10 +180,13 @@ def best_match(a: str | None, b: str | None, least: float) -> float:
         return 1.0
     x, y = _sounds(a), _sounds(b)
     sound = 0.4 * (_soundex(a) == _soundex(b)) + (0.6 * SequenceMatcher(None, x, y).ratio() if x and y else 0.0)
-    scores = [SequenceMatcher(None, a, b).ratio(), 1 - _edits(a, b) / max(len(a), len(b)), sound]
+    scores = [1 - _edits(a, b) / max(len(a), len(b)), sound]
     if a.startswith(b) or b.startswith(a):
         scores.append(min(len(a), len(b)) / max(len(a), len(b)))
     top = max(scores)
+    blocks = SequenceMatcher(None, a, b)
+    if blocks.real_quick_ratio() > top and blocks.quick_ratio() > top:  # bounds of the ratio
+        top = max(top, blocks.ratio())
     return top if top >= least else top * 0.8
 
 
@@ -221,13 +225,14 @@ def similarity(a: str, b: str) -> Column:
     return score(F.col(a), F.col(b))
 
 
-def fuzzy_matches(probes: DataFrame, index: DataFrame, probe_id: str, index_id: str, least: float = 0.6, limit: int = 5, same_number: bool = True) -> DataFrame:
+def fuzzy_matches(probes: DataFrame, index: DataFrame, probe_id: str, index_id: str, least: float = 0.6, limit: int = 5, same_number: bool = True, itself: bool = True) -> DataFrame:
     """The best index addresses for each parsed probe, by blocks and then by similarity.
 
     Blocks are the ZIP, else the city and state, and besides the street's name in one
     form; a pair met in several is scored once.  With ``same_number`` a block holds one
     house number only, rows without one are left out and the city counts with a ZIP too.
-    Names that meet again in a block are compared once.
+    Names that meet again in a block are compared once.  Without ``itself`` a pair of
+    equal ids is left out before anything is ranked.
     """
     street, city = line_form(F.col("name")), F.concat(city_form(F.col("place")), F.lit("|"), "code")
     if same_number:
@@ -244,6 +249,8 @@ def fuzzy_matches(probes: DataFrame, index: DataFrame, probe_id: str, index_id:
         return df.select(F.col(key).alias(f"{name}_id"), F.struct(*_KEYS).alias(name), city.alias(f"{name}_city"), k.alias("k")).select(f"{name}_id", name, f"{name}_city", "k.*")
 
     pairs = blocks(probes, probe_id, "p", asked).join(blocks(index, index_id, "i", keys).drop("order", "by"), "key")
+    if not itself:
+        pairs = pairs.where("p_id <> i_id")
     if same_number:
         pairs = pairs.groupBy("p_id", "i_id").agg(F.any_value("p").alias("p"), F.any_value("i").alias("i"), F.min(F.struct("order", "by")).alias("b")).select("p_id", "i_id", "p", "i", "b.*")
     else:  # what the ZIP or else the city has brought together isn't met again by the street
@@ -318,3 +325,53 @@ def osa(a: str, b: str) -> Column:
         return pd.Series([osa_distance(p, q) for p, q in zip(x, y)], dtype="Int32", index=x.index)
 
     return distance(F.col(a), F.col(b))
+
+
+def streets_like(asked: DataFrame, streets: DataFrame, least: float, limit: int) -> DataFrame:
+    """For each (id, zip5, name) the other streets (zip5, street) of its ZIP most like it, with ``similarity`` and ``rank``."""
+    s = F.round(levenshtein_similarity(F.col("name"), F.col("street")), 6)
+    found = asked.join(streets, "zip5").where("name <> street").select("id", "street", s.alias("similarity")).where(F.col("similarity") >= least)
+    r = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "street"))
+    return found.withColumn("rank", r).where(F.col("rank") <= limit)
+
+
+def similar_states(typed: DataFrame, states: DataFrame, least: float = 0.6, limit: int = 3) -> DataFrame:
+    """For each text typed for a state the states (code, full) most like it.
+
+    The states, at most 1,000, stand beside each text as one array.
+    """
+    known = [(r["code"], r["full"]) for r in bounded_rows(states.where("full is not null"), 1000, "states")]
+    if not known:
+        return typed.limit(0).select("typed", F.lit("").alias("code"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
+    each = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(n).alias("full")) for c, n in sorted(known)])
+    t = typed.select("typed", F.explode(each).alias("s"))
+    t = t.select("typed", "s.code", F.round(levenshtein_similarity(F.col("typed"), F.col("s.full")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    r = F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("similarity"), "code"))
+    return t.withColumn("rank", r).where(F.col("rank") <= limit)
+
+
+def explained(a: str, b: str) -> Column:
+    """Scores of the parts that two structs of parts share, and the overall one, as a map."""
+
+    @F.pandas_udf("map<string,double>")
+    def scores(x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
+        clean = lambda d: [{k: (v if v is not None and v == v else None) for k, v in r.items()} for r in d.to_dict("records")]
+        return pd.Series([{k: round(v, 6) for k, v in address_similarity(p, q).items()} for p, q in zip(clean(x), clean(y))], index=x.index)
+
+    return scores(F.col(a), F.col(b))
+
+
+def match_cascade(probes: DataFrame, index: DataFrame, probe_id: str, index_id: str, least: float = 0.5, limit: int = 5) -> DataFrame:
+    """(p_id, i_id, match_type, score, rank, parts): exact matches by key; only probes without one go to fuzzy ones.
+
+    ``parts`` explains the score by the parts of both addresses.  A row isn't matched with itself.
+    """
+    key = lambda df, i, n, p: df.select(F.col(i).alias(n), exact_key(df).alias("k"), F.struct(*_KEYS).alias(p)).where("k not like '|%'")
+    exact = key(probes, probe_id, "p_id", "p").join(key(index, index_id, "i_id", "i"), "k").where("p_id <> i_id")
+    rank = F.row_number().over(Window.partitionBy("p_id").orderBy("i_id"))
+    exact = exact.withColumn("rank", rank).where(F.col("rank") <= limit).select("p_id", "i_id", F.lit("exact").alias("match_type"), F.lit(1.0).alias("score"), "rank", "p", "i")
+    left = probes.join(exact.select(F.col("p_id").alias(probe_id)).distinct(), probe_id, "left_anti")
+    fuzzy = fuzzy_matches(left, index, probe_id, index_id, least, limit, same_number=False, itself=False).drop("gap")
+    fuzzy = fuzzy.join(probes.select(F.col(probe_id).alias("p_id"), F.struct(*_KEYS).alias("p")), "p_id").join(index.select(F.col(index_id).alias("i_id"), F.struct(*_KEYS).alias("i")), "i_id")
+    both = exact.unionByName(fuzzy.select(*exact.columns))
+    return both.select("p_id", "i_id", "match_type", "score", "rank", explained("p", "i").alias("parts"))

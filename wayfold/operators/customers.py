@@ -225,3 +225,10 @@ def first_found(ways) -> tuple[str, DataFrame]:
         if not rows.isEmpty():
             break
     return name, rows
+
+
+def every_address(customers: DataFrame) -> DataFrame:
+    """(crid, address), distinct: the current address and both ends of every move; blank ones are none."""
+    ends = F.flatten(F.transform(F.coalesce("move_history", F.array()), lambda m: F.array(m["from_address"], m["to_address"])))
+    every = customers.select("crid", F.explode(F.array_distinct(F.concat(F.array("address"), ends))).alias("address"))
+    return every.where("trim(address) <> ''").distinct()

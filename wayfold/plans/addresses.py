@@ -188,14 +188,14 @@ def addr_exact_match(p, spark, d):
 @query()
 def addr_fuzzy_match(p, spark, d):
     """The best other typed addresses for each, with the gap to the next."""
-    m = A.fuzzy_matches(p, p, "id", "id", 0.6, 6, same_number=False).where("p_id <> i_id")
+    m = A.fuzzy_matches(p, p, "id", "id", 0.6, 5, same_number=False, itself=False)
     return m.select("p_id", "i_id", "match_type", "score", "rank", "gap")
 
 
 @query()
 def addr_verify(p, spark, d):
     """A ladder over the best match: verified, corrected, suggested or unverified."""
-    m = A.fuzzy_matches(p, p, "id", "id", 0.5, 2, same_number=False).where("p_id <> i_id").groupBy("p_id").agg(F.max("score").alias("score"))
+    m = A.fuzzy_matches(p, p, "id", "id", 0.5, 1, same_number=False, itself=False).groupBy("p_id").agg(F.max("score").alias("score"))
     s = F.coalesce("score", F.lit(0.0))
     status = F.when(s >= 0.95, "verified").when(s >= 0.85, "corrected").when(s >= 0.75, "suggested").otherwise("unverified")
     return p.select("id").join(m, F.col("id") == F.col("p_id"), "left").select("id", s.alias("score"), status.alias("status"))
@@ -282,18 +282,78 @@ def by_urbanization(p, spark, d):
     return p.where("is_pr and urbanization is not null").groupBy("urbanization").agg(F.count("*").alias("n"), F.count_distinct("zip5").alias("zips"))
 
 
-@query(_PARSED + " select a.id as a, b.id as b, round(1 - levenshtein(a.name, b.name)::double / greatest(length(a.name), length(b.name)), 6) as similarity from p a join p b on a.zip5 = b.zip5 and a.number = b.number and a.id < b.id where 1 - levenshtein(a.name, b.name)::double / greatest(length(a.name), length(b.name)) between 0.6 and 0.999")
+@query(
+    _PARSED
+    + """, s as (select distinct zip5, name from p where zip5 is not null and name is not null),
+m as (select p.id, s.name as street, round(1 - levenshtein(p.name, s.name)::double / greatest(length(p.name), length(s.name)), 6) as similarity from p join s on p.zip5 = s.zip5 and p.name <> s.name where p.id % 20 = 0)
+select id, street, similarity, r::int as rank from (select *, row_number() over (partition by id order by similarity desc, street) r from m where similarity >= 0.6) where r <= 5"""
+)
 def street_in_zip(p, spark, d):
-    """Streets spelled alike at one number of a ZIP."""
-    a = p.where("number is not null and name is not null").select(F.col("id").alias("a"), "zip5", "number", F.col("name").alias("na"))
-    b = a.withColumnsRenamed({"a": "b", "na": "nb"})
-    s = F.round(levenshtein_similarity(F.col("na"), F.col("nb")), 6)
-    return a.join(b, ["zip5", "number"]).where("a < b").select("a", "b", s.alias("similarity")).where("similarity between 0.6 and 0.999")
+    """The streets of a ZIP most like the typed one, whatever the house number, for every twentieth record."""
+    streets = p.where("zip5 is not null and name is not null").select("zip5", F.col("name").alias("street")).distinct()
+    return A.streets_like(p.where("id % 20 = 0").select("id", "zip5", "name"), streets, 0.6, 5)
 
 
-@query("select a.city_ref_id as a, b.city_ref_id as b from city_ref a join city_ref b on a.state = b.state and a.city_ref_id < b.city_ref_id where damerau_levenshtein(lower(a.city), lower(b.city)) <= 1")
+@query(
+    """with t as (select id, lower(trim(city)) as c, """
+    + _state_sql("state")
+    + """ as code from """
+    + TYPED
+    + """) select id, city_ref_id from t join city_ref r on t.code = r.state where t.c <> lower(r.city) and damerau_levenshtein(t.c, lower(r.city)) = 1"""
+)
 def swaps_and_slips(p, spark, d):
-    """Names of one state at one edit or swap; where it is one, both definitions of the distance agree."""
-    r = table(spark, d, "city_ref").select("city_ref_id", "state", F.lower("city").alias("c"))
-    a, b = r.toDF("a", "state", "ca"), r.toDF("b", "state", "cb")
-    return a.join(b, "state").where("a < b").where(A.osa("ca", "cb") <= 1).select("a", "b")
+    """Typed towns at one edit or swap from a town of their state; where it is one, both definitions of the distance agree."""
+    t = typed(spark, d).select("id", F.lower(F.trim("city")).alias("c"), A.normal_state(F.col("state")).alias("code")).where("code is not null")
+    r = table(spark, d, "city_ref").select("city_ref_id", F.col("state").alias("code"), F.lower("city").alias("r"))
+    near = F.levenshtein("c", "r") <= 2  # what built-in functions can tell goes first
+    return t.join(r, "code").where(near).where(A.osa("c", "r") == 1).select("id", "city_ref_id")
+
+
+@query(
+    f"""with s as (select distinct state as code, state_name from city_ref), t as (select distinct lower(trim(state)) as typed from {TYPED} where {_state_sql("state")} is null and length(trim(state)) >= 3),
+m as (select typed, code, round(1 - levenshtein(typed, lower(state_name))::double / greatest(length(typed), length(state_name)), 6) as similarity from t, s)
+select typed, code, similarity, r::int as rank from (select *, row_number() over (partition by typed order by similarity desc, code) r from m where similarity >= 0.6) where r <= 3"""
+)
+def similar_states(p, spark, d):
+    """What was typed for a state and is none, with the states most like it; some fifty states are compared with each."""
+    states = table(spark, d, "city_ref").select(F.col("state").alias("code"), F.lower("state_name").alias("full")).distinct()
+    t = typed(spark, d).where(A.normal_state(F.col("state")).isNull() & (F.length(F.trim("state")) >= 3)).select(F.lower(F.trim("state")).alias("typed")).distinct()
+    return A.similar_states(t, states)
+
+
+@query(f"""with f as (select substr(zip_low, 1, 1) as digit, state from city_ref union select substr(zip_high, 1, 1), state from city_ref), a as (select digit, list(distinct state) as states from f group by 1)
+select id, code, z, coalesce(list_contains(a.states, code), false) as fits from (select id, {_state_sql("state")} as code, {_zip_sql("zip")} as z from {TYPED}) t left join a on substr(z, 1, 1) = a.digit where code is not null and z is not null""")
+def zip_digit_fits_state(p, spark, d):
+    """Whether the first digit of the ZIP is one of the state's, by the ranges of the canonical places."""
+    r = table(spark, d, "city_ref")
+    digits = r.select(F.explode(F.array(F.substring("zip_low", 1, 1), F.substring("zip_high", 1, 1))).alias("digit"), "state").groupBy("digit").agg(F.collect_set("state").alias("states"))
+    t = p.where("code is not null and zip5 is not null").select("id", "code", F.col("zip5").alias("z"), F.substring("zip5", 1, 1).alias("digit"))
+    return t.join(digits, "digit", "left").select("id", "code", "z", F.coalesce(F.array_contains("states", F.col("code")), F.lit(False)).alias("fits"))
+
+
+@query(f"""with z0 as (select {_zip_sql("zip")} as zip, upper(trim(state)) as state, lower(trim(city)) as city from customer_snapshots), g as (select zip, state, count(distinct city) as cities, min(city) as city from z0 where zip is not null and state <> '' and city <> '' group by 1, 2)
+select zip, state, city, cities::bigint as cities from (select *, row_number() over (partition by zip order by cities desc, state) r from g) where r = 1""")
+def zip_dimension_by_cities(p, spark, d):
+    """Per ZIP the state with most distinct cities."""
+    z = table(spark, d, "customer_snapshots").select(A.zip5(F.col("zip")).alias("zip"), F.upper(F.trim("state")).alias("state"), F.lower(F.trim("city")).alias("city"))
+    g = z.where("zip is not null and state <> '' and city <> ''").groupBy("zip", "state").agg(F.count_distinct("city").alias("cities"), F.min("city").alias("city"))
+    best = g.groupBy("zip").agg(F.min(F.struct((-F.col("cities")).alias("k"), "state", "city", "cities")).alias("b"))
+    return best.select("zip", "b.state", "b.city", "b.cities")
+
+
+@query()
+def addr_match_cascade(p, spark, d):
+    """Exact matches first; records without one go to streets alike and their scores by part."""
+    return A.match_cascade(p, p, "id", "id")
+
+
+@query(
+    "with "
+    + f"{SNAPSHOT_CUSTOMERS}, h as (select distinct crid, a from (select crid, address as a from customers union all select crid, unnest(list_transform(move_history, lambda m: m.to_address)) from customers union all select crid, unnest(list_transform(move_history, lambda m: m.from_address)) from customers)), "
+    + "n as (select crid, a, nullif(regexp_extract(trim(a), '^(\\d+)', 1), '') as number from h where trim(a) <> '') select number, count(distinct crid)::bigint as customers, count(*)::bigint as addresses from n where number is not null group by 1"
+)
+def addresses_ever_by_number(p, spark, d):
+    """Every address a customer has or had, from the record and both ends of each move, by house number."""
+    e = C.every_address(C.latest(table(spark, d, "customer_snapshots")))
+    e = e.withColumn("number", F.nullif(F.regexp_extract(F.trim("address"), r"^(\d+)", 1), F.lit(""))).where("number is not null")
+    return e.groupBy("number").agg(F.count_distinct("crid").alias("customers"), F.count("*").alias("addresses"))

@@ -151,9 +151,9 @@ def group_by_field(c):
     return C.group_by(c, "move_count", customer_type="residential")
 
 
-@query("select count(*)::bigint as n from customers where upper(status) = 'ACTIVE' and move_count >= 1 and contains(lower(city), 'more') and len(list_filter(move_history, lambda m: upper(m.state) = 'VT')) >= 0")
+@query("select count(*)::bigint as n from customers where upper(status) = 'ACTIVE' and move_count >= 1 and contains(lower(city), 'more') and len(list_filter(move_history, lambda m: upper(m.state) = 'VT')) > 0")
 def count_by_criteria(c):
-    return c.where(C.criteria(status="active", min_moves=1, city="more")).where("size(move_history) >= 0").agg(F.count("*").alias("n"))
+    return c.where(C.criteria(status="active", min_moves=1, city="more", from_state="VT")).agg(F.count("*").alias("n"))
 
 
 @query("""select case when grouping(state) = 0 then 'state' when grouping(city) = 0 then 'city' when grouping(customer_type) = 0 then 'type' else 'status' end as facet,
@@ -173,6 +173,17 @@ def cube_state_type(c):
     return c.cube("state", "customer_type").agg(F.count("*").alias("n"), F.sum("move_count").alias("moves"))
 
 
+_SHARES = ("state", "customer_type", "status", "move_count", "relationship_type")
+
+
+@query(" union all ".join(f"select '{f}' as field, {f}::varchar as value, count(*)::bigint as n, round(100.0 * count(*) / sum(count(*)) over (), 4)::double as percent from customers group by {f}" for f in _SHARES))
+def distributions(c):
+    """Counts and shares by five fields in one pass."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in _SHARES])
+    n = c.select(F.explode(fields).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+    return n.withColumn("percent", F.round(100 * F.col("n") / c.agg(F.count("*")).scalar(), 4))
+
+
 @query("select status, count(*)::bigint as n, round(100.0 * count(*) / sum(count(*)) over (), 4)::double as percent from customers group by status")
 def distribution_report(c):
     n = c.groupBy("status").agg(F.count("*").alias("n"))
@@ -325,7 +336,7 @@ SQL["ids_asked_for"] = f"""with {SNAPSHOT_CUSTOMERS}, q as (select regexp_extrac
 select crid, count(distinct trace_id)::bigint as asked, crid in (select crid from customers) as known from q where crid <> '' group by 1"""
 
 
-@query()
+@query("select 'city' as way, crid, city from customers where contains(lower(city), 'gate')")
 def strategy_cascade(c):
     """The first way of searching that finds anything: by id, by city, by any term."""
     ways = (("id", lambda: C.lookup(c, "CRID-999999")), ("city", lambda: C.search(c, city="gate")), ("terms", lambda: C.any_term(c, "gate")))

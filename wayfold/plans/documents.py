@@ -126,7 +126,7 @@ def html_text(t):
     return D.plain_html(t.select("doc_id", html.alias("html")), "doc_id", "html")
 
 
-@query("documents", r"select doc_id, len(regexp_extract_all(text, '\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b'))::int as ssn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b', '[REDACTED-SSN]', 'g'), '\b(?:\d{4}[-\s]?){3}\d{4}\b', '[REDACTED-CREDIT_CARD]', 'g'), '\b\d{8,17}\b', '[REDACTED-BANK_ACCOUNT]', 'g'), '\b(?:\+1[-\s]?)?\(?\d{3}\)?[-\s]?\d{3}[-\s]?\d{4}\b', '[REDACTED-PHONE]', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[REDACTED-EMAIL]', 'g') as clean from documents where text is not null")
+@query("documents", r"select doc_id, len(regexp_extract_all(text, '\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b'))::int as ssn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b', '[REDACTED-SSN]', 'g'), '\b(?:\d{4}[-\s]?){3}\d{4}\b', '[REDACTED-CREDIT_CARD]', 'g'), '\b\d{8,17}\b', '[REDACTED-BANK_ACCOUNT]', 'g'), '\b(?:\+1[-\s]?)?\(?\d{3}\)?[-\s]?\d{3}[-\s]?\d{4}\b', '[REDACTED-PHONE]', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED-EMAIL]', 'g') as clean from documents where text is not null")
 def pii_redact(t):
     clean, counts = X.redact(F.col("text"))
     return t.where("text is not null").select("doc_id", counts["ssn"].cast("int").alias("ssn"), clean.alias("clean"))
