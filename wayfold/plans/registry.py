@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfold.plans import addresses, customers, documents, histories, records, streams, telemetry, vectors
+from wayfold.plans import addresses, customers, documents, histories, landing, records, sketches, streams, telemetry, vectors
 
-_MODULES = (customers, addresses, documents, histories, records, streams, telemetry, vectors)
+_MODULES = (customers, addresses, documents, histories, landing, records, sketches, streams, telemetry, vectors)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import struct
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
@@ -33,6 +34,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files of a folder, or of the file itself."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def customers(spark: SparkSession, path: str) -> DataFrame:
     """Customers from JSON arrays; a missing path is an empty table."""
     if not exists(spark, path):
@@ -116,7 +124,11 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=["source_id", "embedding"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "source_id string, embedding array<float>")
+    if any(f.endswith(".txt") for f in names(spark, path)):  # packed vectors as lines, in parts that can be read apart
+        content = spark.read.text(path).select(F.unbase64("value").alias("content"))
+    else:
+        content = spark.read.format("binaryFile").load(path).select("content")
+    return content.mapInPandas(run, "source_id string, embedding array<float>")
 
 
 def pack_vectors(rows: list[tuple[str, list[float]]]) -> bytes:
@@ -129,6 +141,25 @@ def pack_vectors(rows: list[tuple[str, list[float]]]) -> bytes:
     return out
 
 
+def write_vectors(df: DataFrame, path: str) -> None:
+    """(source_id, embedding) in the binary form, a file a partition; the folder is replaced.
+
+    Every task packs its rows in parts of 100,000 and writes them through the file system of Spark.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[str, list[float]]] = []
+        for b in batches:
+            held += zip(b["source_id"], b["embedding"])
+            while len(held) >= 100_000:
+                yield pd.DataFrame({"value": [base64.b64encode(pack_vectors(held[:100_000])).decode()]})
+                held = held[100_000:]
+        if held:
+            yield pd.DataFrame({"value": [base64.b64encode(pack_vectors(held)).decode()]})
+
+    df.select("source_id", "embedding").mapInPandas(pack, "value string").write.mode("overwrite").text(path)
+
+
 def address_batch(df: DataFrame, embeddings: DataFrame | None = None, after: str | None = None) -> DataFrame:
     """Records to ingest: source_id, raw_address and the row itself as JSON.
 
