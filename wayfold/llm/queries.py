@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.bpe import encode_ids
-from wayfold.llm.mixing import mix
+from wayfold.llm.mixing import copies, mix
 from wayfold.llm.percentiles import combine, percentiles, summaries
 from wayfold.llm.places import map_places
 from wayfold.llm.quality import statistics, text_types
@@ -41,6 +41,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix itself: every document as often as it is used."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return copies(docs.where("text <> ''"), p7_uses(spark, d)).select("doc_id", "source", F.length("text").alias("chars"))
+
+
 def _latency(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "query_events").select(F.to_date("ts").alias("day"), "cache_hit", "latency_ms")
 
@@ -72,6 +78,11 @@ def p1_kept_per_day(spark: SparkSession, d: str) -> DataFrame:
     return summaries(_processing(spark, d), ["day", "source"], "processing_time_ms", keep=F.col("processing_time_ms") >= 0)
 
 
+def p1_latency_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of the latency per day and hit flag to keep."""
+    return summaries(_latency(spark, d), ["day", "cache_hit"], "latency_ms", keep=F.col("latency_ms") >= 0)
+
+
 def p1_month_from_days(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per month and source combined from what is kept per day."""
     return combine(p1_kept_per_day(spark, d).withColumn("month", F.substring("day", 1, 7)), ["month", "source"])
@@ -107,7 +118,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({c: F.round(c, 6) for c in ("mean_word_length", "symbol_ratio", "line_end_share", "common_share")})
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_kept_per_day, p1_month_from_days, p2_found, p2_places, p3_found, p3_pieces, p5_found, p5_locations, p6_ids, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_kept_per_day, p1_latency_kept, p1_month_from_days, p2_found, p2_places, p3_found, p3_pieces, p5_found, p5_locations, p6_ids, p7_uses, p7_shares, p7_mix, p8_found, p8_quality, p8_statistics)}
 _P1 = """
 select '{name}' as grouping, {day} as day, {hit} as cache_hit, {source} as source, n::bigint as n,
   max(case when r = (n * 50 + 99) // 100 then v end)::double as p50,
@@ -124,7 +135,14 @@ def _p1(name: str, of: str, **cols: str) -> str:
     return _P1.format(name=name, of=of, by=keys, **shown)
 
 
+_KEPT = """
+select {keys}, n::bigint as n, list(r order by r) as ranks, list(v::double order by r) as points from (
+  select *, row_number() over (partition by {by} order by v) r, count(*) over (partition by {by}) n from {of}) where r = 1 or r = n or r * 200 // n > (r - 1) * 200 // n group by {by}, n"""
+
+
 SQL: dict[str, str] = {
+    "p1_kept_per_day": _KEPT.format(keys="day::varchar as day, source", by="day, source", of="(select ts::date as day, source, processing_time_ms v from validation_audit where processing_time_ms >= 0)"),
+    "p1_latency_kept": _KEPT.format(keys="day::varchar as day, cache_hit::varchar as cache_hit", by="day, cache_hit", of="(select ts::date as day, cache_hit, latency_ms v from query_events where latency_ms >= 0)"),
     "p1_percentiles": """
 with l as (select ts::date as day, cache_hit, latency_ms v from query_events where latency_ms >= 0),
 t as (select ts::date as day, source, processing_time_ms v from validation_audit where processing_time_ms >= 0)
