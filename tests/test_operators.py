@@ -277,3 +277,51 @@ def test_related_by_tags(spark):
     got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in D.related_by_tags(df, F.col("doc_id").isin(0, 1, 100, 101), 3).collect()}
     assert [got[0, k] for k in (1, 2, 3)] == [(2, 1.0), (4, 1.0), (6, 1.0)] and [got[1, k] for k in (1, 2, 3)] == [(3, 1.0), (5, 1.0), (7, 1.0)]
     assert [got[100, k][0] for k in (1, 2, 3)] == [1, 3, 5] and (101, 1) not in got
+
+
+def test_column_meanings():
+    want = {
+        "Address Line 1": "street", "addr2": "unit", "Street Address": "street", "streetName": "street", "house_no": "street_number", "Bldg Number": "street_number", "Apt #": "unit",
+        "Town": "city", "CITY NAME": "city", "St": "state", "province": "state", "Postal-Code": "zip", "zip5": "zip", "zip_code": "zip", "zipCode": "zip", "Country Code": "country",
+        "urb": "urbanization", "Mailing Address": "full_address", "full_address": "full_address", "customer.address.city": "city", "status": None, "notes": None, "": None, "id": None, "42": None,
+    }
+    assert {n: R.column_target(n) for n in want} == want
+
+
+def test_known_mappings(spark):
+    df = spark.createDataFrame([("1 Oak St", "x", "7001")], "Addr string, Town string, PostCode string")
+    known: dict = {}
+    out, mapping, sure = R.mapped_records(df, known)
+    assert mapping == {"street": "Addr", "city": "Town", "zip": "PostCode"} and sure == 0.6375 and set(out.columns) == {"street", "city", "zip"}
+    known[tuple(sorted(df.columns))] = {"city": "Addr"}
+    assert R.mapped_records(df, known)[0].columns == ["city"]
+
+
+def test_sketches(spark):
+    from wayfold.operators import sketches as K
+
+    df = spark.createDataFrame([(f"w{i % 50}",) for i in range(2000)] + [(None,)], "x string").withColumn("n", F.lit(1))
+    got = {r.x: r.estimate for r in K.estimates(df, "x", K.count_min(df.select("x"), "x")).collect()}
+    assert len(got) == 50 and all(v >= 40 for v in got.values()) and sum(v == 40 for v in got.values()) > 40
+    bits = K.bloom(df, "x")
+    asked = spark.createDataFrame([("w1",), ("nope",), (None,)], "x string")
+    assert {r.x: r.seen for r in K.may_be_in(asked, "x", bits).collect()} == {"w1": True, "nope": False}
+    assert K.may_be_in(asked, "x", K.bloom(df.limit(0), "x")).where("seen").count() == 0
+    left = K.counting_filter(df.distinct(), df.distinct().where("x <> 'w3'"), "x")
+    assert {r.x for r in K.may_be_in(df, "x", left.select("cell")).where("seen").collect()} == {"w3"}
+
+
+def test_match_cascade(spark):
+    rows = [(1, "12 Oak St", "Oakton", "NJ", "07001"), (2, "12 Oak St", "Oakton", "NJ", "07001"), (3, "12 Oakly St", "Oakton", "NJ", "07001"), (4, None, None, None, None)]
+    p = A.parse(spark.createDataFrame(rows, "id int, address string, city string, state string, zip string"))
+    got = {(r.p_id, r.i_id): r for r in A.match_cascade(p, p, "id", "id").collect()}
+    assert set(got) == {(1, 2), (2, 1), (3, 1), (3, 2)} and got[1, 2].match_type == "exact" and got[3, 1].match_type == "fuzzy_zip"
+    assert got[3, 1].parts["zip"] == 1.0 and got[3, 1].parts["name"] < 1 and got[3, 1].parts["overall"] == pytest.approx(got[3, 1].score)
+    best = {r.p_id: (r["rank"], r.i_id) for r in A.fuzzy_matches(p, p, "id", "id", limit=1, same_number=False, itself=False).collect()}
+    assert best[1] == (1, 2) and best[3] == (1, 1)
+
+
+def test_every_address(spark):
+    move = "array<struct<from_address:string,to_address:string,city:string,state:string,zip:string,move_date:date>>"
+    df = spark.createDataFrame([("A", "1 A St", [("0 X St", "1 A St", None, None, None, None), (None, " ", None, None, None, None)]), ("B", None, None)], f"crid string, address string, move_history {move}")
+    assert {tuple(r) for r in C.every_address(df).collect()} == {("A", "1 A St"), ("A", "0 X St")}

@@ -295,16 +295,17 @@ def street_in_zip(p, spark, d):
 
 
 @query(
-    f"""with t as (select id, translate(lower(trim(city)), '{MARKED}', '{PLAIN}') as c, """
+    f"""with t as (select id, regexp_replace(translate(lower(trim(city)), '{MARKED}', '{PLAIN}'), '[^ -~]', '?', 'g') as c, """
     + _state_sql("state")
     + """ as code from """
     + TYPED
     + f"""), r as (select city_ref_id, state, translate(lower(city), '{MARKED}', '{PLAIN}') as r from city_ref)
-select id, city_ref_id from t join r on t.code = r.state where not regexp_matches(t.c, '[^ -~]') and damerau_levenshtein(t.c, r.r) = 1"""
+select id, city_ref_id from t join r on t.code = r.state where damerau_levenshtein(t.c, r.r) = 1"""
 )
 def swaps_and_slips(p, spark, d):
     """Typed towns at one edit or swap from a town of their state; where it is one, both definitions of the distance agree."""
-    t = typed(spark, d).select("id", F.translate(F.lower(F.trim("city")), MARKED, PLAIN).alias("c"), A.normal_state(F.col("state")).alias("code")).where("code is not null and not c rlike '[^ -~]'")
+    plain = F.regexp_replace(F.translate(F.lower(F.trim("city")), MARKED, PLAIN), "[^ -~]", "?")
+    t = typed(spark, d).select("id", plain.alias("c"), A.normal_state(F.col("state")).alias("code")).where("code is not null")
     r = table(spark, d, "city_ref").select("city_ref_id", F.col("state").alias("code"), F.translate(F.lower("city"), MARKED, PLAIN).alias("r"))
     near = F.levenshtein("c", "r") <= 2  # what built-in functions can tell goes first
     return t.join(r, "code").where(near).where(A.osa("c", "r") == 1).select("id", "city_ref_id")
