@@ -101,4 +101,6 @@ def words(text: Column) -> Column:
 def overlap(text: Column, query: str) -> Column:
     """Share of the distinct query words that the text holds."""
     q = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
-    return F.size(F.array_intersect(words(text), F.array(*[F.lit(w) for w in q]))) / F.lit(float(len(q)))
+    low = F.lower(text)
+    held = (F.when(low.contains(w) & low.rlike(rf"(?<![a-z0-9]){w}(?![a-z0-9])"), 1).otherwise(0) for w in q)
+    return F.when(text.isNotNull(), sum(held, F.lit(0)) / F.lit(float(max(1, len(q)))))
