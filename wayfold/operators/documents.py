@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,30 +41,119 @@ def best_of_copies(docs: DataFrame, score: Column) -> DataFrame:
     return best.select("hash", "b.doc_id", "b.source", F.array_join(alternates, ",").alias("alternates"), "copies")
 
 
+_WORD_BREAK = r"[ \t\r\n\f\x0b]+"
+
+
+def _parts(n: int, least: float) -> list[int]:
+    """In how many parts sets of ``n`` words are cut, to meet all sets they may be similar to.
+
+    Two sets with a Jaccard similarity of ``least`` differ in at most (1 - least) / (1 + least)
+    of their words, counted together; cut in more parts than that, they agree in one.  The
+    larger set has the say, so a set is cut as its own size and any larger partner's ask for,
+    in numbers of parts that rise by a fifth, which keeps them few.
+    """
+    most = lambda m: int(2 * m * (1 - least) / (1 + least) + 1e-6) + 1
+    grid = [1]
+    while grid[-1] < most(int(n / least + 1e-6)):
+        grid.append(grid[-1] + max(1, grid[-1] // 5))
+    return [g for g in grid if g > 1 and g >= most(n)]
+
+
+def _word_sets(least: float):
+    """An Arrow function: id and lower-case text to id, ``set`` (a fingerprint of the words), ``n`` words, ``sketch``, ``parts``.
+
+    ``sketch`` has one bit for the parity of the words of each of 64 kinds: two sets differ in
+    at least as many words as their sketches in bits.  ``parts`` are hashes of the parts of the
+    set (see _parts); equal parts have equal hashes.
+    """
+    cuts: dict[int, list[int]] = {}
+
+    def piece(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
+        split = pc.ascii_split_whitespace(text)
+        row, word = pc.list_parent_indices(split).to_numpy(zero_copy_only=False), split.flatten().dictionary_encode()
+        names = word.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in names), "<u8").reshape(-1, 2)
+        order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        code = word.indices.to_numpy(zero_copy_only=False)
+        real = np.array([w != b"" for w in names], bool)[code]
+        key = np.unique(row[real].astype(np.int64) * max(1, len(names)) + place[code[real]])
+        row, hashes = key // max(1, len(names)), hashes[order][key % max(1, len(names))]  # in each row distinct, by hash
+        h, g = np.ascontiguousarray(hashes[:, 0]), np.ascontiguousarray(hashes[:, 1])
+        rows, at, n = np.unique(row, return_index=True, return_counts=True)
+        ends, raw = at + n, memoryview(np.ascontiguousarray(hashes)).cast("B")
+        sets = [hashlib.blake2b(raw[16 * i : 16 * j], digest_size=32).digest() for i, j in zip(at.tolist(), ends.tolist())]
+        sketch = np.bitwise_xor.reduceat(np.uint64(1) << (g >> np.uint64(58)), at) if len(at) else np.empty(0, np.uint64)
+        by: dict[int, list[int]] = {}
+        for i, m in enumerate(n.tolist()):
+            if m not in cuts:
+                cuts[m] = _parts(m, least)
+            for k in cuts[m]:
+                by.setdefault(k, []).append(i)
+        owner, made = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for k, own in by.items():
+            own = np.array(own)
+            size = n[own]
+            first = np.repeat(at[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            sums = np.zeros(len(own) * k, np.uint64)
+            np.add.at(sums, np.repeat(np.arange(len(own)) * k, size) + (h[first] % np.uint64(k)).astype(np.int64), g[first])
+            slot = np.tile(np.arange(k, dtype=np.uint64), len(own)) + np.uint64(k << 32)
+            owner.append(np.repeat(own, k))
+            made.append((sums ^ (slot * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93))
+        who, made = np.concatenate(owner), np.concatenate(made)
+        sort = np.argsort(who, kind="stable")
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(rows)))]).astype(np.int32)
+        parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[sort].view(np.int64)))
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(rows)), pa.array(sets, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch.view(np.int64)), parts], ["doc_id", "set", "n", "sketch", "parts"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, text = b.column(0), b.column(1)
+            total = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
+            i = 0
+            while i < len(ids):  # by 1 MB of text, which bounds the memory
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000, "right")))
+                yield piece(ids.slice(i, j - i), text.slice(i, j - i))
+                i = j
+
+    return run
+
+
 def near_copies(docs: DataFrame, least: float = 0.95) -> DataFrame:
     """Classes of equal word sets, and links between classes with a Jaccard similarity of ``least`` or more.
 
     Every document has the class of its word set (``class_id``, the least id with that
-    set); links join classes, not copies.  Prefix filter: words in order of rarity,
-    two sets that similar share one of the first n - ceil(least * n) + 1 words.
+    set); links join classes, not copies.  Classes that agree in a part of their words
+    and whose sketches allow it (see _word_sets) are compared word by word, no similar
+    ones are missed.  Only hashes are moved, but for the words of classes compared.
+    Made for a high ``least``: with a low one the parts have few words and many agree.
+    ``doc_id`` is unique, but a row may come again.
     Result: doc_id, class_id, links (other classes linked to its class).
     """
-    w = docs.where("text is not null").select("doc_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n\f\x0b]+"), lambda x: x != "")).alias("ws"))
-    w = w.where("size(ws) > 0").withColumn("set", F.sha2(F.array_join(F.array_sort("ws"), "\u0001"), 256))
-    member = cut(w.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.any_value("ws").alias("ws")))
-    one = member.select("class_id", "ws", F.size("ws").alias("n"))
-    rarity = one.select(F.explode("ws").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
-    tokens = one.select("class_id", "n", F.explode("ws").alias("x")).join(rarity, "x")
-    rank = F.row_number().over(Window.partitionBy("class_id").orderBy("df", "x"))
-    prefix = tokens.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("class_id", "n", "x")
-    a, b = prefix.toDF("a", "na", "x"), prefix.toDF("b", "nb", "x")
-    near = a.join(b, "x").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)).select("a", "b").distinct()
-    left, right = one.select(F.col("class_id").alias("a"), F.col("ws").alias("wa")), one.select(F.col("class_id").alias("b"), F.col("ws").alias("wb"))
+    if not 0 < least <= 1:
+        raise ValueError("least: a similarity above 0, of 1 at most")
+    text = docs.where("text is not null").select("doc_id", F.lower("text").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    w = cut(text.mapInArrow(_word_sets(least), f"doc_id {kind}, set binary, n int, sketch bigint, parts array<bigint>"))
+    classes = w.groupBy("set").agg(F.min("doc_id").alias("class_id"))
+    member = w.where("size(parts) > 0").groupBy("set").agg(F.min("doc_id").alias("id"), *[F.any_value(c).alias(c) for c in ("n", "sketch", "parts")])
+    parts = member.select("id", "n", "sketch", F.explode("parts").alias("part"))
+    a, b = parts.toDF("a", "na", "sa", "part"), parts.toDF("b", "nb", "sb", "part")
+    sizes = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
+    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-6
+    near = cut(a.join(b, "part").where((F.col("a") < F.col("b")) & sizes & apart).select("a", "b").distinct())
+    met = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ws = F.array_distinct(F.filter(F.split("text", _WORD_BREAK), lambda x: x != ""))
+    words = text.join(met, "doc_id", "left_semi").select("doc_id", ws.alias("ws")).groupBy("doc_id").agg(F.any_value("ws").alias("ws"))
     shared = F.size(F.array_intersect("wa", "wb"))
-    links = near.join(left, "a").join(right, "b").where(shared / (F.size("wa") + F.size("wb") - shared) >= least)
+    both = near.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
+    links = both.where(shared / (F.size("wa") + F.size("wb") - shared) >= least)
     count = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-    classes = member.select("set", "class_id").join(count, "class_id", "left")
-    return w.select("doc_id", "set").distinct().join(classes, "set").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    named = classes.join(count, "class_id", "left")
+    return w.select("doc_id", "set").distinct().join(named, "set").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def merge_copies(docs: DataFrame) -> DataFrame:
